@@ -191,6 +191,35 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, size: int = 8, most: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``documents``, all columns, that hold windows of at most ``most`` items.
+
+    With one chunk, rows are judged where they are read, without a shuffle;
+    with several, a narrow table of hits is joined back by row.
+    """
+    parts = chunks(benchmark, size, chunk_bytes)
+    if not parts:
+        return documents
+    rows = documents.withColumn("__uid", F.monotonically_increasing_id())
+    if len(parts) == 1:
+        run = searcher(parts[0], 0)
+
+        def keep(batches):
+            for batch in c.pieces(batches):
+                found = next(run([pa.RecordBatch.from_arrays([batch.column("__uid"), pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["uid", "doc_id", "text"])]))
+                good = pa.array([len(x) <= most for x in found.column("items").to_pylist()])
+                yield batch.filter(good)
+
+        return rows.mapInArrow(keep, rows.schema).drop("__uid")
+    narrow = rows.select(F.col("__uid").alias("uid"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hits = None
+    for w in parts:
+        own = narrow.mapInArrow(searcher(w, 0), "uid long, " + RESULT).where(F.size("items") > 0).select("uid", F.explode("items").alias("item"))
+        hits = own if hits is None else hits.unionByName(own)
+    bad = hits.distinct().groupBy("uid").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return rows.join(bad, rows["__uid"] == bad["uid"], "left_anti").drop("__uid")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
