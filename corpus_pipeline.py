@@ -3,7 +3,7 @@
 quality       documents that the quality classifier rejects go
 near_dups     of each class of near-duplicate documents (five-word shingles,
               similarity 0.8 or more) the one with the least id stays
-decontaminate documents with windows of two or more benchmark items go
+decontaminate documents with an eight-word window of any benchmark item go
 mix           sources are taken to their target weights, at most three times over
 shard         every document gets its shard; the last stage adds the columns
               n_bytes, shard and shard_bytes
@@ -30,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), most=0)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
