@@ -228,13 +228,14 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, window: int = WINDOW
     """One row per document row; with ``text`` also the removed spans and what is left (bytes of cut characters dropped)."""
     spark, scratch = documents.sparkSession, c.Scratch(documents.sparkSession)
     docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    place = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place")
     n = c.partitions(spark)
-    phrases = placed.select("uid", "place", "text").where(F.octet_length("text") >= length).mapInArrow(parse(length, window), "trigger long, phrase long, place long, uid long, first long, more short")
+    phrases = docs.select("uid", place, "text").where(F.octet_length("text") >= length).mapInArrow(parse(length, window), "trigger long, phrase long, place long, uid long, first long, more short")
     judged = phrases.repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "place", "uid", "first").mapInArrow(judge, "kind byte, uid long, place long, first long, more short")
     judged = scratch.put(judged, "phrases")
     edges = judged.where("kind = 1").groupBy("uid").agg(F.collect_list(F.struct("first", "more")).alias("edges"))
-    strings = placed.select("uid", "place", "text").join(edges, "uid").mapInArrow(suffixes(length), "string long, place long, uid long, first long")
+    # The same rows and columns as in the last join, so that the texts are shuffled once for both.
+    strings = docs.join(edges, "uid").select("uid", place, "text", "edges").mapInArrow(suffixes(length), "string long, place long, uid long, first long")
     shared = strings.repartition(n, "string").sortWithinPartitions("string", "place", "uid", "first").mapInArrow(repeats, "uid long, first long, more short")
     runs = judged.where("kind = 0").select("uid", "first", "more").unionByName(shared).groupBy("uid").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
     more = ", spans array<struct<start:long,end:long>>, kept string" if text else ""
