@@ -87,8 +87,19 @@ def parse(length: int, window: int):
                 continue
             first, last, key, whole = blockwise(data, offsets)
             doc = np.searchsorted(offsets, first, "right") - 1
+            place, uid = (batch.column(k).to_numpy()[doc] for k in ("place", "uid"))
+            # Phrases that this block holds before are repeats for certain: they need not meet the others of their
+            # trigger, so they are merged into runs, marked by a negative length and dealt by a hash of their place.
+            order = np.lexsort((first, uid, place, whole, key))
+            again = np.zeros(len(first), bool)
+            again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
+            begin = np.flatnonzero(np.concatenate([[True], ~(again[1:] & again[:-1] & (doc[1:] == doc[:-1]))]))
+            last = last[np.concatenate([begin[1:], [len(first)]]) - 1]
+            first, doc, place, uid, key, whole, again = (x[begin] for x in (first, doc, place, uid, key, whole, again))
+            key = np.where(again, c.mix(uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)), key)
+            more = np.where(again, -1 - (last - first), last - first).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("place").take(pa.array(doc)), batch.column("uid").take(pa.array(doc)), pa.array(first - offsets[doc]), pa.array((last - first).astype(np.int16))],
+                [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(place), pa.array(uid), pa.array(first - offsets[doc]), pa.array(more)],
                 ["trigger", "phrase", "place", "uid", "first", "more"],
             )
 
@@ -128,6 +139,12 @@ def judge(batches):
         if not batch.num_rows:
             continue
         t, p, place, uid, first, more = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("trigger", "phrase", "place", "uid", "first", "more"))
+        known = more < 0
+        if known.any():
+            yield rows(0, uid[known], place[known], first[known], -1 - more[known])
+            t, p, place, uid, first, more = (x[~known] for x in (t, p, place, uid, first, more))
+            if not len(t):
+                continue
         before_t = np.concatenate([[last[0] if last else t[0]], t[:-1]])
         before_p = np.concatenate([[last[1] if last else p[0]], p[:-1]])
         new = (t != before_t) | (p != before_p)
@@ -184,7 +201,7 @@ def repeats(batches):
             again = np.concatenate([[last is not None and h[0] == last], h[1:] == h[:-1]])
             last = h[-1]
             keep = pa.array(again)
-            yield pa.RecordBatch.from_arrays([batch.column("uid").filter(keep), batch.column("first").filter(keep), pa.array(np.zeros(int(again.sum()), np.int16))], ["uid", "first", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid").filter(keep), batch.column("first").filter(keep), pa.array(np.zeros(int(again.sum()), np.int32))], ["uid", "first", "more"])
 
 
 def finish(length: int, text: bool):
@@ -230,13 +247,13 @@ def deduplicate(documents: DataFrame, length: int = LENGTH, window: int = WINDOW
     docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     place = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place")
     n = c.partitions(spark)
-    phrases = docs.select("uid", place, "text").where(F.octet_length("text") >= length).mapInArrow(parse(length, window), "trigger long, phrase long, place long, uid long, first long, more short")
-    judged = phrases.repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "place", "uid", "first").mapInArrow(judge, "kind byte, uid long, place long, first long, more short")
+    phrases = docs.select("uid", place, "text").where(F.octet_length("text") >= length).mapInArrow(parse(length, window), "trigger long, phrase long, place long, uid long, first long, more int")
+    judged = phrases.repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "place", "uid", "first").mapInArrow(judge, "kind byte, uid long, place long, first long, more int")
     judged = scratch.put(judged, "phrases")
     edges = judged.where("kind = 1").groupBy("uid").agg(F.collect_list(F.struct("first", "more")).alias("edges"))
     # The same rows and columns as in the last join, so that the texts are shuffled once for both.
     strings = docs.join(edges, "uid").select("uid", place, "text", "edges").mapInArrow(suffixes(length), "string long, place long, uid long, first long")
-    shared = strings.repartition(n, "string").sortWithinPartitions("string", "place", "uid", "first").mapInArrow(repeats, "uid long, first long, more short")
+    shared = strings.repartition(n, "string").sortWithinPartitions("string", "place", "uid", "first").mapInArrow(repeats, "uid long, first long, more int")
     runs = judged.where("kind = 0").select("uid", "first", "more").unionByName(shared).groupBy("uid").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
     more = ", spans array<struct<start:long,end:long>>, kept string" if text else ""
     return docs.join(runs, "uid", "left").mapInArrow(finish(length, text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
