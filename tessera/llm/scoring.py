@@ -49,6 +49,8 @@ SEGMENT = 1 << 16
 MIX_FOLD = 8
 END = 255
 STEP = 1 << 18
+#: Bytes of text that a worker holds as symbols and contexts at a time.
+PIECE = 1 << 21
 #: Predictions in the logistic domain are held in steps of 1 / UNIT, up to 16 either way.
 UNIT = 256
 LEVELS = 256
@@ -178,7 +180,7 @@ def summed(blobs: DataFrame, fan: int) -> list:
 def count_contexts(tables: np.ndarray, sym: np.ndarray, rows: list[np.ndarray]) -> None:
     for k, r in enumerate(rows):
         own = tables[STARTS[k] : STARTS[k + 1]]
-        own += np.bincount(r + sym - STARTS[k], minlength=len(own)).astype(tables.dtype)
+        np.add.at(own, r + sym - np.int32(STARTS[k]), tables.dtype.type(1))
 
 
 class Tree:
@@ -235,7 +237,7 @@ def learner(tree: Tree, table, rate: float = 0.02):
         seen = np.zeros(256)
         apm = np.zeros((256, LEVELS // 8, 2))
         counts = np.zeros(STARTS[-1], np.int32)
-        for batch in c.pieces(batches):
+        for batch in c.pieces(batches, most=PIECE):
             sym, offsets = symbols(batch.column("text"))
             rows = contexts(sym, offsets)
             count_contexts(counts, sym, rows)
@@ -263,7 +265,7 @@ def learner(tree: Tree, table, rate: float = 0.02):
 
 def counter(batches):
     counts = None
-    for batch in c.pieces(batches):
+    for batch in c.pieces(batches, most=PIECE):
         counts = np.zeros(STARTS[-1], np.int32) if counts is None else counts
         sym, offsets = symbols(batch.column("text"))
         count_contexts(counts, sym, contexts(sym, offsets))
@@ -367,7 +369,7 @@ def score(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
     def run(batches):
         hashes, many, model = shared.value
-        for batch in c.pieces(batches):
+        for batch in c.pieces(batches, most=PIECE):
             n = batch.num_rows
             data, offsets = c.text_bytes(batch.column("text"))
             starts, stops, first = c.find_words(data, offsets, c.NONSPACE)
