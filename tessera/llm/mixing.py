@@ -25,7 +25,7 @@ from tessera.llm import _core as c
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 #: Rows of one source that share a range of the hash order, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SEED = "mix-1"
 
 
@@ -38,7 +38,7 @@ def order_key(doc_id: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """Of one row (__source, __source_size) per source: its number in order and its target.
+    """Of one row (__source, __source_size, __rows) per source: the same and its target.
 
     With sources by size to weight, those before some place are capped; the
     level of the others is what is left over the weights left. Both are
@@ -57,29 +57,28 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     s = s.withColumn("__level", level).withColumn("__holds", F.col("__level") * F.col("__weight") <= epochs * F.col("__source_size"))
     first = F.min(F.when(F.col("__holds"), F.struct("__gone", "__level"))).over(everything)
     s = s.withColumn("__final", first["__level"])
-    return s.select("__source", "__source_size", "__number", F.coalesce(F.least(F.lit(float(epochs)) * F.col("__source_size"), F.col("__final") * F.col("__weight")), F.lit(0.0)).alias("__target"))
+    return s.select("__source", "__source_size", "__rows", F.coalesce(F.least(F.lit(float(epochs)) * F.col("__source_size"), F.col("__final") * F.col("__weight")), F.lit(0.0)).alias("__target"))
 
 
 def take(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, scratch: c.Scratch | None = None) -> DataFrame:
     """Of rows (doc_id, __source, __size): the same with __source_size, __target and __taken."""
     scratch = scratch or c.Scratch(narrow.sparkSession)
-    sources = scratch.put(targets(narrow.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count("*").alias("__rows")).drop("__rows"), weights, epochs), "sources")
-    n = narrow.count()
-    ranges = max(1, n // RANGE_ROWS)
-    key = order_key(F.col("doc_id"))
+    sources = scratch.put(targets(narrow.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count("*").alias("__rows")), weights, epochs), "sources")
+    name = F.coalesce(F.concat(F.lit("s"), "__source"), F.lit(""))
+    sources = sources.withColumn("__name", name).drop("__source")
+    # Each source has as many ranges of the hash as its rows need.
+    ranges = F.greatest(F.lit(1), F.floor(F.col("__rows") / RANGE_ROWS))
     bucket = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") * ranges / 2.0**32).cast("long")
-    rows = narrow.withColumn("__key", key).withColumn("__range", bucket)
-    rows = rows.withColumn("__name", F.coalesce(F.concat(F.lit("s"), "__source"), F.lit("")))
+    rows = narrow.withColumn("__key", order_key(F.col("doc_id"))).withColumn("__name", name).join(sources, "__name").withColumn("__range", bucket)
     own = Window.partitionBy("__name").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("__name", "__range").agg(F.sum("__size").alias("__in_range")).withColumn("__offset", F.coalesce(F.sum("__in_range").over(own), F.lit(0))).drop("__in_range")
-    sums = sums.join(sources.withColumn("__name", F.coalesce(F.concat(F.lit("s"), "__source"), F.lit(""))).drop("__source"), "__name")
     w = Window.partitionBy("__name", "__range").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, ["__name", "__range"]).withColumn("__before", F.col("__offset") + F.coalesce(F.sum("__size").over(w), F.lit(0)))
     budget = F.floor("__target").cast("long")
     whole = F.when(F.col("__source_size") > 0, F.floor(budget / F.col("__source_size"))).otherwise(0).cast("long")
     rest = budget - whole * F.col("__source_size")
     taken = whole * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__before")))
-    return rows.withColumn("__taken", taken.cast("long")).drop("__key", "__name", "__range", "__offset", "__before", "__number")
+    return rows.withColumn("__taken", taken.cast("long")).drop("__key", "__name", "__range", "__offset", "__before", "__rows")
 
 
 def narrowed(documents: DataFrame, *more: Column) -> DataFrame:
