@@ -60,8 +60,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     return s.select("__source", "__source_size", "__rows", F.coalesce(F.least(F.lit(float(epochs)) * F.col("__source_size"), F.col("__final") * F.col("__weight")), F.lit(0.0)).alias("__target"))
 
 
-def take(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, scratch: c.Scratch | None = None) -> DataFrame:
-    """Of rows (doc_id, __source, __size): the same with __source_size, __target and __taken."""
+def take(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, scratch: c.Scratch | None = None, order: tuple[str, ...] = ("doc_id", "__size")) -> DataFrame:
+    """Of rows (doc_id, __source, __size): the same with __source_size, __target, __taken, __whole (epochs of all rows) and
+    __key. ``order`` breaks ties of the hash order."""
     scratch = scratch or c.Scratch(narrow.sparkSession)
     sources = scratch.put(targets(narrow.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count("*").alias("__rows")), weights, epochs), "sources")
     name = F.coalesce(F.concat(F.lit("s"), "__source"), F.lit(""))
@@ -72,13 +73,13 @@ def take(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, scratch: c.Sc
     rows = narrow.withColumn("__key", order_key(F.col("doc_id"))).withColumn("__name", name).join(sources, "__name").withColumn("__range", bucket)
     own = Window.partitionBy("__name").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("__name", "__range").agg(F.sum("__size").alias("__in_range")).withColumn("__offset", F.coalesce(F.sum("__in_range").over(own), F.lit(0))).drop("__in_range")
-    w = Window.partitionBy("__name", "__range").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("__name", "__range").orderBy("__key", *order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, ["__name", "__range"]).withColumn("__before", F.col("__offset") + F.coalesce(F.sum("__size").over(w), F.lit(0)))
     budget = F.floor("__target").cast("long")
     whole = F.when(F.col("__source_size") > 0, F.floor(budget / F.col("__source_size"))).otherwise(0).cast("long")
     rest = budget - whole * F.col("__source_size")
     taken = whole * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__before")))
-    return rows.withColumn("__taken", taken.cast("long")).drop("__key", "__name", "__range", "__offset", "__before", "__rows")
+    return rows.withColumn("__taken", taken.cast("long")).withColumn("__whole", whole).drop("__name", "__range", "__offset", "__before", "__rows")
 
 
 def narrowed(documents: DataFrame, *more: Column) -> DataFrame:
@@ -86,13 +87,24 @@ def narrowed(documents: DataFrame, *more: Column) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """The mix itself: each row of ``documents`` as many times as it is taken; at the cut, a document of which at least half is taken is whole."""
+    """The mix itself: each row of ``documents`` as many times as it is taken; at the cut, a document of which at least half is taken is whole.
+
+    Rows up to a source's cut in the hash order are taken once more than those
+    after it, so a row needs no more than its source's cut: texts aren't shuffled.
+    """
     scratch = c.Scratch(documents.sparkSession)
     rows = documents.withColumn("__row", F.monotonically_increasing_id())
     narrow = scratch.put(narrowed(rows, F.col("__row")), "sizes")
-    copies = take(narrow, weights, epochs, scratch).where("__taken > 0").select("__row", F.floor((F.col("__taken") + F.col("__size") / 2) / F.col("__size")).cast("int").alias("__copies"))
-    copies = scratch.put(copies.where("__copies > 0"), "copies")
-    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copy", "__copies")
+    taken = take(narrow, weights, epochs, scratch, order=("__row",)).where("__size > 0")
+    once_more = 2 * (F.col("__taken") - F.col("__whole") * F.col("__size")) >= F.col("__size")
+    place = F.struct(F.col("__key"), F.col("__row"))
+    cuts = taken.groupBy("__source").agg(F.max("__whole").alias("__whole"), F.max(F.when(once_more, place)).alias("__cut"))
+    cuts = scratch.put(cuts.select(F.coalesce(F.concat(F.lit("s"), "__source"), F.lit("")).alias("__name"), "__whole", "__cut"), "cuts")
+    named = rows.withColumn("__name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("__key", order_key(F.col("doc_id")))
+    more = F.coalesce(place <= F.col("__cut"), F.lit(False)).cast("int")
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    copies = named.join(cuts, "__name").withColumn("__copies", F.when(words, F.col("__whole").cast("int") + more).otherwise(0)).where("__copies > 0")
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*documents.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
