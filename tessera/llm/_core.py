@@ -115,7 +115,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches, column: str = "text", most: int = 1 << 23):
+def pieces(batches, column: str = "text", most: int = 1 << 22):
     """Batches cut between rows, so that each holds few bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BINS = 8
 RANK = 8
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Bytes of text that a worker turns into features at a time.
+PIECE = 1 << 21
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 STATISTICS = ("bytes", "words", "word_length", "distinct", "top_word", "upper", "digit", "space", "punctuation", "symbol", "bar", "exclamation", "other", "line_length", "repeats", "single")
@@ -97,9 +100,14 @@ class Machine:
         n = len(stats)
         bins = np.stack([np.searchsorted(self.edges[j], stats[:, j], "right") for j in range(len(STATISTICS))], axis=1)
         bins = WORDS + BINS * np.arange(len(STATISTICS)) + bins
-        docs = np.concatenate([d, np.repeat(np.arange(n), len(STATISTICS))])
-        order = np.argsort(docs, kind="stable")
-        return docs[order], np.concatenate([s, bins.ravel()])[order], np.concatenate([value, np.full(bins.size, 0.5)])[order].astype(np.float32)
+        # Each document's bins stand behind its words.
+        words = np.bincount(d, minlength=n)
+        total = words + bins.shape[1]
+        docs = np.repeat(np.arange(n, dtype=np.int32), total)
+        slots, values = np.empty(len(docs), np.int32), np.full(len(docs), 0.5, np.float32)
+        is_word = np.arange(len(docs)) - np.repeat(np.cumsum(total) - total, total) < np.repeat(words, total)
+        slots[is_word], values[is_word], slots[~is_word] = s, value, bins.ravel()
+        return docs, slots, values
 
     def raw(self, docs, slots, values, n: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(docs, np.arange(n))  # every document has its bins, so no document is without a row
@@ -151,7 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def parts(batches):
-        for batch in c.pieces(batches):
+        for batch in c.pieces(batches, most=PIECE):
             d, s, value, stats = featurise(batch.column("text"))
             at = np.searchsorted(d, np.arange(batch.num_rows + 1))
             packed = [np.concatenate([stats[i].astype(np.float32).view(np.uint8), s[at[i] : at[i + 1]].astype(np.int32).view(np.uint8), value[at[i] : at[i + 1]].astype(np.float32).view(np.uint8)]).tobytes() for i in range(batch.num_rows)]
@@ -161,19 +169,24 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label:
     got = rows.mapInArrow(parts, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
-    k = len(STATISTICS)
-    d, s, v, stats = [], [], [], []
-    for i, x in enumerate(got.column("x").to_pylist()):
-        words = (len(x) // 4 - k) // 2
-        stats.append(np.frombuffer(x, np.float32, k))
-        s.append(np.frombuffer(x, np.int32, words, 4 * k))
-        v.append(np.frombuffer(x, np.float32, words, 4 * (k + words)))
-        d.append(np.full(words, i))
-    stats = np.stack(stats).astype(np.float64)
+    # Unpacked straight into the arrays of the fit: the driver holds the sample once.
+    k, n = len(STATISTICS), got.num_rows
+    blobs = got.column("x").combine_chunks()
+    sizes = (pc.binary_length(blobs).to_numpy() // 4 - k) // 2
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    d = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    s, v, stats = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32), np.empty((n, k))
+    for i in range(n):
+        x, words = blobs[i].as_buffer(), int(sizes[i])
+        stats[i] = np.frombuffer(x, np.float32, k)
+        s[at[i] : at[i + 1]] = np.frombuffer(x, np.int32, words, 4 * k)
+        v[at[i] : at[i + 1]] = np.frombuffer(x, np.float32, words, 4 * (k + words))
     edges = np.stack([np.quantile(stats[:, j], np.arange(1, BINS) / BINS) for j in range(k)])
     machine = Machine(edges)
     y = got.column("y").to_numpy().astype(np.float32)
-    return machine.fit(*machine.design(np.concatenate(d), np.concatenate(s).astype(np.int64), np.concatenate(v), stats), y)
+    del got, blobs
+    pa.default_memory_pool().release_unused()
+    return machine.fit(*machine.design(d, s, v, stats), y)
 
 
 def score(documents: DataFrame, machine: Machine | None, keep: list[str]) -> DataFrame:
@@ -182,7 +195,7 @@ def score(documents: DataFrame, machine: Machine | None, keep: list[str]) -> Dat
     schema = kept.select(*keep).withColumn("__score", F.lit(0.5).cast("double")).schema
 
     def parts(batches):
-        for batch in c.pieces(batches):
+        for batch in c.pieces(batches, most=PIECE):
             scores = machine.score(batch.column("text")) if machine else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores)], [*keep, "__score"])
 
