@@ -42,10 +42,12 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.count = 0
         atexit.register(self.close)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        self.count += 1
+        path = f"{self.base}/{name}-{self.count}"
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
