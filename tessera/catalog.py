@@ -565,3 +565,39 @@ def retrieve_random(spark, d):
 @query(f"WITH {SCORED}, f AS (SELECT name, 0 AS part, row_number() OVER (ORDER BY score DESC, name) AS place FROM scored QUALIFY place <= 2), s AS (SELECT name, 1 AS part, row_number() OVER (ORDER BY md5(concat('7:1:', name)), name) AS place FROM scored), u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY part, place) AS r FROM (SELECT * FROM f UNION ALL SELECT * FROM s)) SELECT name FROM u WHERE r = 1 ORDER BY part, place LIMIT 4")
 def retrieve_hybrid(spark, d):
     return retrieval.hybrid(wide(spark), "loan repayment income", 4, 7, 1)
+
+
+# ---------------------------------------------------------------- models
+
+
+def _planted(spark, d) -> tuple[DataFrame, dict]:
+    """Orders with a target that a ratio of two fields decides."""
+    df = orders(spark, d).withColumn("label", (F.col("o_totalprice") / F.greatest(F.col("c_acctbal"), F.lit(1.0)) > 50).cast("double"))
+    return df, {"fields": [f for f in ORDERS["fields"] if not f.get("exclude")][:2]}
+
+
+@query()
+def cross_validated_model(spark, d):
+    """A logistic model on three folds, without and with the ratio; metrics averaged over folds."""
+    from tessera.operators.evaluate import evaluate
+    from tessera.plans.graph import Graph
+
+    df, data = _planted(spark, d)
+    from tessera.contracts import Dataset
+
+    data, rows = Dataset.parse(data), []
+    for name, features in (("raw", []), ("log_ratio", [Feature("ratio", "divide", ("o_totalprice", "c_acctbal")), Feature("size", "log1p_abs", ("ratio",))])):
+        found = evaluate(df, Graph.of(data, features), "label", "fold", ["auc", "log_loss"], "logistic", explain=False)
+        rows.append((name, found.metrics["auc"], found.metrics["log_loss"], found.fits))
+    return spark.createDataFrame(rows, "features string, auc double, log_loss double, fits int")
+
+
+@query()
+def permutation_importance(spark, d):
+    from tessera.contracts import Dataset
+    from tessera.operators.evaluate import evaluate
+    from tessera.plans.graph import Graph
+
+    df, data = _planted(spark, d)
+    found = evaluate(df, Graph.of(Dataset.parse(data), [Feature("size", "log1p_abs", ("c_acctbal",))]), "label", "fold", ["auc"], "logistic", row_id="o_orderkey")
+    return spark.createDataFrame(sorted(found.importance.items()), "column string, importance double")
