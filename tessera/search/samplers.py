@@ -27,7 +27,7 @@ class Context:
     most: int = 2
     maximize: bool = True
     memory: dict[str, Any] = field(default_factory=dict)
-    statistics: dict[str, Any] = field(default_factory=dict)
+    statistics: dict[str, Any] | Callable[[list[str]], dict[str, Any]] = field(default_factory=dict)
     columns: list[str] | None = None
 
 
@@ -122,7 +122,7 @@ def prompt(context: Context, most_bytes: int = 12_000, most_columns: int = 20) -
         "columns": [{"name": f.name, "dtype": f.dtype, "description": f.description, "unit": f.unit, "tags": list(f.semantic_tags)} for f in picked],
         "current": [f.record() for f in context.parent.features],
         "memory": context.memory,
-        "statistics": {k: v for k, v in context.statistics.items() if k in {f.name for f in picked}},
+        "statistics": context.statistics([f.name for f in picked]) if callable(context.statistics) else {k: v for k, v in context.statistics.items() if k in {f.name for f in picked}},
     }
     size = lambda: len(json.dumps(parts, ensure_ascii=False).encode())
     for key in ("statistics", "memory", "current"):

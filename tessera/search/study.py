@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import __version__
 from tessera.contracts import ContractError, Dataset, check_params, need
-from tessera.operators import metrics, prep
+from tessera.operators import metrics, prep, retrieval
 from tessera.operators.evaluate import Result, evaluate
 from tessera.plans.compiler import FeatureModel, fit
 from tessera.plans.graph import Graph, digest
@@ -64,6 +65,7 @@ class Study:
     param_space: dict[str, list] = field(default_factory=dict)
     joint_optimization: bool = False
     explain: bool = True
+    most_columns: int = 20
     callbacks: tuple[Callable[[Study, dict], None], ...] = ()
     trials: list[dict] = field(default_factory=list)
     stopped: bool = False
@@ -101,6 +103,44 @@ class Study:
         frontier = sorted(ok, key=lambda t: (-t["value"] if self.maximize else t["value"], t["number"]))[:k]
         return frontier[(number - 1) % len(frontier)] if frontier else base
 
+    def memory(self, k: int = 5, recent: int = 5) -> dict:
+        """The history in a few lines: the most frequent useful and rejected concepts and failures (ties: first seen), and the last trials."""
+        useful, rejected, failed = Counter(), Counter(), Counter()
+        for t in self.trials:
+            for h in t["hypotheses"].values():
+                if h["status"] in ("supported", "strongly_supported"):
+                    useful[h["concept"]] += 1
+                elif h["status"] == "rejected":
+                    rejected[h["concept"]] += 1
+            if t["state"] == "FAIL" and t["error"]:
+                failed[t["error"][:120]] += 1
+        last = [{x: t[x] for x in ("number", "state", "parent_delta")} for t in self.trials[1:][-recent:]]
+        return {"useful": useful.most_common(k), "rejected": rejected.most_common(k), "failures": failed.most_common(k), "recent": last}
+
+    def _statistics(self, df: DataFrame):
+        """Summaries of columns for a prompt, without rows, labels or names of categories: computed once per column, when first asked for."""
+        known: dict[str, dict] = {}
+        kinds = {f.name: f.dtype for f in self.dataset.usable}
+
+        def of(names: list[str]) -> dict[str, dict]:
+            new = [n for n in names if n not in known and kinds.get(n) in ("numeric", "categorical")]
+            if new:
+                rows = prep.summaries(df, [n for n in new if kinds[n] == "numeric"], [n for n in new if kinds[n] == "categorical"]).collect()
+                known.update({r["column"]: {k: v for k, v in r.asDict().items() if k != "column" and v is not None} for r in rows})
+            return {n: known[n] for n in names if n in known}
+
+        return of
+
+    def _columns(self, df: DataFrame, number: int) -> list[str] | None:
+        """Of wide contracts, the columns that a trial is shown: half by similarity to the objective, half drawn."""
+        fields = self.dataset.usable
+        if len(fields) <= self.most_columns:
+            return None
+        rows = [(f.name, f.concept, " ".join([f.name, f.description, *f.semantic_tags])) for f in fields]
+        wide = df.sparkSession.createDataFrame(rows, "name string, concept string, document string")
+        wanted = " ".join([self.dataset.objective, self.dataset.target_definition, self.dataset.search_guidance]).strip() or self.metric
+        return [r["name"] for r in retrieval.hybrid(wide, wanted, self.most_columns, 0, number).collect()]
+
     def used(self) -> dict[str, float]:
         client = getattr(self.sampler, "client", None)
         done = [t for t in self.trials if t["number"] > 0]
@@ -129,6 +169,7 @@ class Study:
                 if t["state"] == "RUNNING":  # its work is lost, what it spent isn't
                     self._save(t | {"state": "INTERRUPTED"})
             frame = df.persist()
+            self.statistics_of = self._statistics(frame)
             try:
                 self._loop(frame, label, fold, budget, row_id)
             finally:
@@ -161,7 +202,7 @@ class Study:
         self._save(trial)
         began = time.time()
         try:
-            p = self.sampler.sample(Context(self.dataset, graph, number, self.trials[:-1], 1 if self.strategy == "autonomous" else self.most, self.maximize))
+            p = self.sampler.sample(Context(self.dataset, graph, number, self.trials[:-1], 1 if self.strategy == "autonomous" else self.most, self.maximize, self.memory(), self.statistics_of, self._columns(df, number)))
             need(bool(p.features or p.remove or p.model_params), "empty proposal")
             names = {f.name for f in graph.features}
             need(len(set(p.remove)) == len(p.remove) and set(p.remove) <= names, "removals must be different features of the parent")

@@ -195,6 +195,23 @@ def test_prompt_is_bounded():
     assert len(text.encode()) <= 12_000 and len(json.loads(text)["columns"]) <= 20
 
 
+def test_wide_contract_and_prompt_in_the_loop(spark, loans, tmp_path):
+    extra = [field(f"d{k}") for k in range(30)]
+    wide = loans.select("*", *((F.col("loan") * (k + 1)).alias(f"d{k}") for k in range(30)))
+    asked = []
+
+    class Shown:
+        def sample(self, context):
+            asked.append((context.columns, json.loads(prompt(context))))
+            return Proposal((Feature(f"f{context.number}", "divide", ("loan", "income"), hypothesis=Hypothesis("ratio", "debt")),))
+
+    s = Study(Dataset.parse({"fields": [*LOANS["fields"], *extra], "objective": "loan to income"}), "auc", "logistic", Shown(), Ledger(str(tmp_path / "l.db")), explain=False, most_columns=6)
+    s.optimize(wide, "label", "fold", Budget(trials=2))
+    columns, told = asked[0]
+    assert len(columns) == 6 and "loan" in columns and set(told["statistics"]) <= set(columns) and told["statistics"]["loan"]["missing_rate"] == 0
+    assert asked[1][1]["memory"]["recent"][0]["number"] == 1
+
+
 def test_command_line(spark, loans, tmp_path, capsys):
     from tessera.cli import load_config, main
 
