@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _core as c
 
+#: A node with more than one in so many of all edge ends is a hub; there are fewer of them than this.
+HUBS = 1000
+
 
 def components(edges: DataFrame, scratch: c.Scratch) -> DataFrame:
     """Of edges (a, b): rows (node, root) of all nodes but the roots, root being the least node of the component.
 
     Every round links each node's larger neighbours to its least one, and then
     its smaller ones, until stars remain. Minima are combined before the
-    shuffle, and rounds are written to the shared folder, so that no node's
-    neighbours are gathered and lineage stays short.
+    shuffle, and rounds are written to the shared folder, so that lineage stays
+    short. Minima of hubs (fewer than HUBS, whatever the graph) are broadcast to
+    the edges where they lie, so that no node's neighbours are gathered.
     """
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
     state, k = _state(now), 0
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, down, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.put(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), f"edges-{k + 1}")
         scratch.drop(f"edges-{k}")
         now, k = after, k + 1
@@ -33,6 +37,14 @@ def components(edges: DataFrame, scratch: c.Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """The edges (u, v) with the least neighbour m of u; ``ends`` is at least the number of edges given."""
+    hub = F.col("n") * HUBS > ends
+    marked = edges.join(F.broadcast(least.where(hub).select("u", "m")), "u", "left")
+    rest = marked.where("m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+    return marked.where("m is not null").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
     return tuple(row)

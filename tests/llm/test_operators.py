@@ -10,7 +10,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import _core as c
 from tessera.llm import decontamination, licenses, linkgraph, mixing, quality, scoring, sharding, similarity, substrings, topk
+from tessera.llm._graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, __key string"
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards mix étrange potions in großen kettles near old rivers".split()
@@ -262,3 +264,21 @@ def test_empty_tables(spark):
     assert decontamination.search(d, b).count() == 0 and scoring.score(d).count() == 0
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
     assert linkgraph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_components_of_hubs_chains_and_random_edges(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 1500)] + [(9000, 9000 - i) for i in range(1, 1500)] + [(2600 + i * 37 % 900, 2600 + i * 101 % 900) for i in range(600)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = components(spark.createDataFrame(edges, "a long, b long"), c.Scratch(spark)).collect()
+    assert {r["node"]: r["root"] for r in found} == {x: find(x) for x in root if find(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long"), c.Scratch(spark)).count() == 0
