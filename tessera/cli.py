@@ -19,11 +19,34 @@ def load_config(path: str) -> dict:
     return config
 
 
+def sampler_of(s: dict, seed: int):
+    """The sampler that a configuration names; those that combine others take them from the same block."""
+    from tessera.search.samplers import AutonomousSampler, Client, EvolutionSampler, HybridSampler, ModelSampler, RandomSampler
+
+    def model():
+        return ModelSampler(Client(s["url"], s["model"], os.environ.get(s.get("key_env", ""), "")))
+
+    kinds = {
+        "random": lambda: RandomSampler(seed),
+        "evolution": lambda: EvolutionSampler(seed),
+        "model": model,
+        "hybrid": lambda: HybridSampler(model(), EvolutionSampler(seed), s.get("every", 3)),
+        "autonomous": lambda: AutonomousSampler(model() if "url" in s else RandomSampler(seed), s.get("remove_every", 4)),
+    }
+    need(s.get("kind") in kinds, f"unknown sampler {s.get('kind')}")
+    return kinds[s["kind"]]()
+
+
+def best_of(trials: list[dict], maximize: bool) -> dict | None:
+    """The best complete trial in the direction of the study's metric; of equals, the first."""
+    done = [t for t in trials if t["state"] == "COMPLETE" and t["value"] is not None]
+    return min(done, key=lambda t: (-t["value"] if maximize else t["value"], t["number"]), default=None)
+
+
 def optimize(config: dict) -> dict:
     from pyspark.sql import SparkSession
 
     from tessera.operators import folds
-    from tessera.search.samplers import Client, EvolutionSampler, ModelSampler, RandomSampler
     from tessera.search.study import Budget, Study
 
     spark = SparkSession.builder.getOrCreate()
@@ -40,11 +63,10 @@ def optimize(config: dict) -> dict:
         df = folds.group(df, config["groups"], k)
     else:
         df = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(config.get("seed", 0)), *df.columns), F.lit(k)).cast("int"))
-    s = config.get("sampler", {"kind": "random"})
-    kinds = {"random": lambda: RandomSampler(config.get("seed", 0)), "evolution": lambda: EvolutionSampler(config.get("seed", 0)), "model": lambda: ModelSampler(Client(s["url"], s["model"], os.environ.get(s.get("key_env", ""), "")))}
+    sampler = sampler_of(config.get("sampler", {"kind": "random"}), config.get("seed", 0))
     out = at(config.get("output", "output"))
     os.makedirs(out, exist_ok=True)
-    study = Study(Dataset.parse(schema), config["metric"], config["estimator"], kinds[s["kind"]](), Ledger(os.path.join(out, "ledger.db")), config.get("name", "study"), config.get("strategy", "greedy"), most=config.get("features_per_trial", 2))
+    study = Study(Dataset.parse(schema), config["metric"], config["estimator"], sampler, Ledger(os.path.join(out, "ledger.db")), config.get("name", "study"), config.get("strategy", "greedy"), most=config.get("features_per_trial", 2))
     model = study.optimize(df.withColumn(label, F.col(label).cast("double")), label, "fold", Budget(**config.get("budget", {"trials": 3})))
     best = study.best()
     if model:
@@ -69,12 +91,17 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "optimize":
         print(json.dumps(optimize(load_config(args.config))))
         return 0
-    trials = Ledger(args.ledger).trials(args.study)
-    best = max((t for t in trials if t["state"] == "COMPLETE"), key=lambda t: t["value"], default=None)
+    from tessera.operators.metrics import DIRECTION
+
+    need(os.path.exists(args.ledger), f"no ledger at {args.ledger}")
+    ledger = Ledger(args.ledger)
+    trials = ledger.trials(args.study)
+    maximize = DIRECTION.get((ledger.meta(args.study) or {}).get("metric"), "maximize") == "maximize"
+    best = best_of(trials, maximize)
     if args.command == "inspect":
-        print(json.dumps({"study": args.study, "trials": len(trials), "states": {s: sum(t["state"] == s for t in trials) for s in sorted({t["state"] for t in trials})}}))
+        print(json.dumps({"study": args.study, "trials": len(trials), "states": {s: sum(t["state"] == s for t in trials) for s in sorted({t["state"] for t in trials})}, "best": best and {"number": best["number"], "value": best["value"]}}))
     elif args.command == "report":
-        report.write(args.out, report.render(args.study, trials))
+        report.write(args.out, report.render(args.study, trials, maximize))
     else:
         report.write(args.out, json.dumps({"features": best["features"] if best else []}))
     return 0

@@ -2,8 +2,52 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Ranges of the leading order column in which rows are numbered side by side.
+RANGES = 1000
+
+
+def _as_double(df: DataFrame, column: Column) -> Column:
+    """A double that never falls as the column grows."""
+    kind = df.select(column).schema[0].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    return column.cast("double")
+
+
+def placed(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds __place, the row's place from 0 in the ascending order within its group, and __total, the group's rows.
+
+    Rows are numbered within ranges of the leading order column, cut at its
+    approximate quantiles; the counts of the ranges before are added. So
+    neither a global order nor a large group goes to one task, unless one
+    value of the leading order column is itself that frequent. Nulls come first.
+    """
+    keyed = df.withColumn("__key", _as_double(df, order[0]))
+    quantiles = keyed.agg(F.percentile_approx("__key", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    cuts = sorted({q for q in quantiles if abs(q) < float("inf")}) or [0.0]
+    cutter = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range", handleInvalid="keep")
+    ranged = cutter.transform(keyed).withColumn("__range", F.when(F.col("__key").isNull(), -1.0).otherwise(F.col("__range"))).drop("__key")
+    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(x).alias(f"__by_{x}") for x in by), F.col("__range").alias("__of"), before.alias("__before"), F.sum("__n").over(w).alias("__total"))
+    numbered = ranged.withColumn("__place", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1)
+    same = F.col("__range") == F.col("__of")
+    for x in by:
+        same &= F.col(x).eqNullSafe(F.col(f"__by_{x}"))
+    # Without groups there are at most RANGES + 2 counts; with them, the optimizer picks by size.
+    return numbered.join(counts if by else F.broadcast(counts), same).withColumn("__place", F.col("__place") + F.col("__before")).select(*df.columns, "__place", "__total")
 
 
 def row_hash(row_id: Column, seed: int) -> Column:
@@ -21,8 +65,7 @@ def by_key(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame:
 
 def stratified(df: DataFrame, label: str, order: Column, k: int, out: str = "fold") -> DataFrame:
     """Per class, the n-th row in the given order goes to fold n mod k, so classes are balanced to one row."""
-    w = Window.partitionBy(label).orderBy(order)
-    return df.withColumn(out, F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    return placed(df, [order], (label,)).withColumn(out, F.pmod("__place", F.lit(k)).cast("int")).drop("__place", "__total")
 
 
 def group(df: DataFrame, column: str, k: int, out: str = "fold") -> DataFrame:
@@ -41,15 +84,14 @@ def expanding_time(df: DataFrame, order: list[str], out: str = "block", splits:
     size = n // (splits + 1)
     if size == 0:
         raise ValueError("too few rows for time splits")
-    i = F.row_number().over(Window.orderBy(*order)) - 1
-    first = n - splits * size
-    return df.withColumn(out, F.when(i < first, 0).otherwise(1 + F.floor((i - first) / size)).cast("int"))
+    i, first = F.col("__place"), n - splits * size
+    block = F.when(i < first, 0).otherwise(1 + F.floor((i - first) / size)).cast("int")
+    return placed(df, [F.col(x) for x in order]).withColumn(out, block).drop("__place", "__total")
 
 
 def holdout(df: DataFrame, label: str, order: Column, share: float = 0.25, out: str = "held_out") -> DataFrame:
     """Per class, the first floor(share n) rows in the given order are held out."""
-    w = Window.partitionBy(label)
-    return df.withColumn(out, F.row_number().over(w.orderBy(order)) <= F.floor(F.count("*").over(w) * share))
+    return placed(df, [order], (label,)).withColumn(out, F.col("__place") < F.floor(F.col("__total") * share)).drop("__place", "__total")
 
 
 def disjoint(df: DataFrame, row_id: str, fold: str = "fold") -> DataFrame:

@@ -151,7 +151,7 @@ class Study:
             self.trials[trial["number"]] = trial
         else:
             self.trials.append(trial)
-        self.ledger.save(trial, self.name, {"fingerprint": self.identity})
+        self.ledger.save(trial, self.name, {"fingerprint": self.identity, "metric": self.metric})
 
     def optimize(self, df: DataFrame, label: str, fold: str, budget: Budget, archive: bool = False, row_id: str | None = None) -> FeatureModel | None:
         """Runs until a budget, patience or ``stop`` ends it; returns the best features fitted on all rows."""

@@ -253,3 +253,29 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_places_follow_the_order_within_groups(spark):
+    rows = [(i, f"g{i % 7 and 1}" if i % 11 else None, float(i * 7919 % 500) if i % 13 else None, f"k{i * 31 % 400:03d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, s string")
+    none_first = lambda v: (v is not None, v if v is not None else 0)
+    for column, at in (("x", 2), ("s", 3)):
+        for by in ((), ("g",)):
+            groups = {}
+            for r in sorted(rows, key=lambda r: (none_first(r[at]), r[0])):
+                groups.setdefault(r[1] if by else "", []).append(r[0])
+            want = {i: (k, len(ids)) for ids in groups.values() for k, i in enumerate(ids)}
+            found = folds.placed(df, [F.col(column), F.col("id")], by).collect()
+            assert {r["id"]: (r["__place"], r["__total"]) for r in found} == want
+    assert folds.placed(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_command_line_picks_the_best_by_the_metric(tmp_path, capsys):
+    from tessera.cli import main
+    from tessera.sources.ledger import Ledger
+
+    path = str(tmp_path / "ledger.db")
+    for number, value in enumerate((0.9, 0.4, 0.7)):
+        Ledger(path).save({"number": number, "state": "COMPLETE", "value": value, "features": [number]}, "study", {"metric": "rmse"})
+    assert main(["inspect", path]) == 0
+    assert json.loads(capsys.readouterr().out)["best"] == {"number": 1, "value": 0.4}
