@@ -48,7 +48,9 @@ SEGMENT = 1 << 16
 #: One training document in so many teaches the weights before it is counted.
 MIX_FOLD = 8
 END = 255
-STEP = 1 << 18
+STEP = 1 << 15
+#: Symbols scored at a time.
+SCORED = 1 << 16
 #: Bytes of text that a worker holds as symbols and contexts at a time.
 PIECE = 1 << 21
 #: Predictions in the logistic domain are held in steps of 1 / UNIT, up to 16 either way.
@@ -241,8 +243,8 @@ def learner(tree: Tree, table, rate: float = 0.02):
             sym, offsets = symbols(batch.column("text"))
             rows = contexts(sym, offsets)
             count_contexts(counts, sym, rows)
-            for k in range(0, len(sym), STEP // 8):
-                own = slice(k, k + STEP // 8)
+            for k in range(0, len(sym), STEP):
+                own = slice(k, k + STEP)
                 for at, node, bit in tree.steps(sym[own]):
                     st = np.stack([stretch[r[own][at] + node] for r in rows]).astype(np.float32)
                     dot = (st * w[node].T).sum(axis=0)
@@ -302,21 +304,36 @@ class Model:
         refined = (wide[:, :, 1] + 24 * centre) / (wide.sum(axis=2) + 24)
         p = np.clip((centre + refined) / 2, 1e-7, 1 - 1e-7)
         self.cost = -np.log2(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()
+        # By step and symbol: the node, and where its costs of the symbol's way begin.
+        self.step = [(np.ascontiguousarray(node), ((node * LEVELS) << 1) + bit) for node, bit in zip(tree.path.T, tree.bit.T, strict=True)]
+        self.rank = (tree.length.max() - tree.length).astype(np.uint8)
 
     def bits(self, column: pa.Array) -> np.ndarray:
         """Bits of each text, its end with it."""
         sym, offsets = symbols(column)
         rows = contexts(sym, offsets)
         cost = np.zeros(len(sym) + 1)
-        for k in range(0, len(sym), STEP):
-            own, out = slice(k, k + STEP), cost[k : min(k + STEP, len(sym))]
-            here = [r[own] for r in rows]
-            for at, node, bit in self.tree.steps(sym[own]):
-                dot = self.weighted[here[0][at] + node].astype(np.int32)
+        for k in range(0, len(sym), SCORED):
+            # Longest codes first, so that the symbols whose codes go on are the first ones at every step.
+            s = sym[k : k + SCORED]
+            order = np.argsort(self.rank[s], kind="stable")
+            s, here = s[order], [r[k : k + SCORED][order] for r in rows]
+            active = len(s) - np.cumsum(np.bincount(self.tree.length[s], minlength=len(self.step) + 1))
+            bits = np.zeros(len(s))
+            for n, (node_of, cost_of) in zip(active.tolist(), self.step, strict=False):
+                if not n:
+                    break
+                node = node_of.take(s[:n])
+                dot = self.weighted.take(here[0][:n] + node).astype(np.int32)
                 for r in here[1:]:
-                    dot += self.weighted[r[at] + node]
-                level = np.clip((dot >> 5) + LEVELS // 2, 0, LEVELS - 1)
-                out[at] += self.cost[((node * LEVELS + level) << 1) + bit]
+                    dot += self.weighted.take(r[:n] + node)
+                dot >>= 5
+                dot += LEVELS // 2
+                np.clip(dot, 0, LEVELS - 1, out=dot)
+                dot <<= 1
+                dot += cost_of.take(s[:n])
+                bits[:n] += self.cost.take(dot)
+            cost[k : k + len(s)][order] = bits
         return np.add.reduceat(cost, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
 
 
