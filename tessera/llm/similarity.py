@@ -177,7 +177,7 @@ def verify(table: pa.Table) -> pa.Table:
 
 
 def groups(reps: DataFrame, scratch: c.Scratch, group_rows: int, group_shingles: int) -> DataFrame:
-    """Rows (uid, gid, i, j, block, band): which rows meet in which task, all tasks of bounded size."""
+    """Rows (uid, gid, i, j, block, band, alone): which rows meet in which task, all tasks of bounded size; pairs of blocks are tasks of their own."""
     banded = reps.select("uid", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("uid").alias("root"), F.count("*").alias("n")).where("n > 1")
     member = scratch.put(banded.join(buckets, ["band", "hash"]).select("uid", "band", "hash", "root", "n"), "buckets")
@@ -187,7 +187,7 @@ def groups(reps: DataFrame, scratch: c.Scratch, group_rows: int, group_shingles:
     sizes = placed.groupBy("root").agg(F.count("*").alias("m"), F.sum("shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("m") / group_rows), F.ceil(F.col("s") / group_shingles)).cast("int")
     sizes = scratch.put(sizes.withColumn("b", blocks), "sizes")
-    small = comp.join(sizes.where("b = 1"), "root").select(F.col("node").alias("uid"), F.col("root").alias("gid"), *(F.lit(0).alias(x) for x in ("i", "j", "block")), F.lit(-1).alias("band"))
+    small = comp.join(sizes.where("b = 1"), "root").select(F.col("node").alias("uid"), F.col("root").alias("gid"), *(F.lit(0).alias(x) for x in ("i", "j", "block")), F.lit(-1).alias("band"), F.lit(False).alias("alone"))
     large = sizes.where("b > 1")
     if not large.limit(1).count():
         return small
@@ -200,7 +200,7 @@ def groups(reps: DataFrame, scratch: c.Scratch, group_rows: int, group_shingles:
     width = F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("n") * average / group_shingles)).cast("int")
     single = member.join(inside.where(~F.col("whole")).select(F.col("node").alias("uid"), "m", "s"), "uid").select("uid", F.col("hash").alias("gid"), width.alias("b"), "band")
     many = whole.unionByName(single).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("b")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("uid", "gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band")
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("uid", "gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", (F.col("b") > 1).alias("alone"))
     return small.unionByName(many)
 
 
@@ -213,13 +213,15 @@ def join(documents: DataFrame, group_rows: int = GROUP_ROWS, group_shingles: int
     folded = scratch.put(folded, "folded")
     reps = scratch.put(signed.select("uid", "shingles", "bands").join(folded.select("uid", "copies"), "uid"), "representatives")
     tasks = scratch.put(groups(reps, scratch, group_rows, group_shingles), "groups")
-    n, total = tasks.join(reps.select("uid", "shingles"), "uid").agg(F.count("*"), F.coalesce(F.sum("shingles"), F.lit(0))).first()
-    packs = max(1, n // group_rows, total // group_shingles)
+    shared = ~F.col("alone")
+    n, few, total = tasks.join(reps.select("uid", "shingles"), "uid").agg(F.count("*"), F.count_if(shared), F.coalesce(F.sum(F.when(shared, F.col("shingles"))), F.lit(0))).first()
+    # Groups that are whole share packs; a pair of blocks fills one by itself.
+    packs = max(1, few // group_rows, total // group_shingles)
     wanted = tasks.select("uid").distinct()
     if n <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = docs.select("uid", "text").join(wanted, "uid").mapInArrow(shingled, "uid long, set binary")
-    rows = sets.join(reps, "uid").join(tasks, "uid").withColumn("pack", F.pmod(F.xxhash64("gid", "i", "j", "band"), F.lit(packs)))
+    rows = sets.join(reps, "uid").join(tasks, "uid").withColumn("pack", F.when(F.col("alone"), F.xxhash64("gid", "i", "j", "band")).otherwise(F.pmod(F.xxhash64("gid", "i", "j", "band"), F.lit(packs))))
     found = rows.groupBy("pack").applyInArrow(verify, "uid long, links long, root long")
     found = scratch.put(found, "links")
     classes = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
