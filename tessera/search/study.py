@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,6 +18,7 @@ from tessera.operators.evaluate import Result, evaluate
 from tessera.plans.compiler import FeatureModel, fit
 from tessera.plans.graph import Graph, digest
 from tessera.search.samplers import Context, Sampler
+from tessera.sources.artifacts import Artifacts
 from tessera.sources.ledger import Ledger
 
 STATES = ("RUNNING", "COMPLETE", "FAIL", "DUPLICATE", "SCREENED_OUT", "INTERRUPTED", "BUDGET_EXCEEDED")
@@ -67,6 +68,8 @@ class Study:
     explain: bool = True
     most_columns: int = 20
     callbacks: tuple[Callable[[Study, dict], None], ...] = ()
+    #: Shared by studies of the same data, whatever their samplers and strategies: what one has evaluated, another need not fit.
+    artifacts: Artifacts | None = None
     trials: list[dict] = field(default_factory=list)
     stopped: bool = False
 
@@ -159,7 +162,8 @@ class Study:
         need(df.where(F.col(label).isNull()).limit(1).count() == 0, "the label has missing values")
         self.dataset.check(df.schema)
         with self.ledger.lock():
-            self.identity = fingerprint(df, self.dataset, [*(f.name for f in self.dataset.usable), label, fold], {"metric": self.metric, "estimator": str(self.estimator), "strategy": self.strategy, "sampler": type(self.sampler).__name__})
+            self.space = fingerprint(df, self.dataset, [*(f.name for f in self.dataset.usable), label, fold], {})
+            self.identity = digest({"data": self.space, "settings": {"metric": self.metric, "estimator": str(self.estimator), "strategy": self.strategy, "sampler": type(self.sampler).__name__}})
             meta = self.ledger.meta(self.name)
             if meta and meta["fingerprint"] != self.identity:
                 need(archive, "this study was made from other data or settings")
@@ -233,7 +237,7 @@ class Study:
                     trial["fits"] += 1
                     self._save(trial)
 
-                found = evaluate(df, graph, label, fold, [self.metric, *self.secondary], self.estimator, params, self.explain and bool(graph.nodes), charge, row_id)
+                found = self._evaluate(df, graph, label, fold, params, charge, row_id)
                 self._complete(trial, found, parent, new)
         except BudgetExceeded as e:
             trial |= {"state": "BUDGET_EXCEEDED", "error": str(e)}
@@ -244,6 +248,18 @@ class Study:
             self._save(trial)
         return trial
 
+    def _evaluate(self, df, graph, label, fold, params, charge, row_id) -> Result:
+        names, explain = [self.metric, *self.secondary], self.explain and bool(graph.nodes)
+        # An estimator given as an object has no identity that outlives the process.
+        key = [[[r["name"], r["content_hash"]] for r in graph.records()], label, fold, names, self.estimator, params, explain, row_id] if self.artifacts and isinstance(self.estimator, str) else None
+        known = self.artifacts.get(self.space, key) if key else None
+        if known:
+            return Result(**known)
+        found = evaluate(df, graph, label, fold, names, self.estimator, params, explain, charge, row_id)
+        if key:
+            self.artifacts.put(self.space, key, asdict(found))
+        return found
+
     def _varies(self, df, graph, new, fold) -> bool:
         """Whether any new column varies in some training fold; statistics of all rows do for this test."""
         model = fit(df, self.dataset, graph)

@@ -12,6 +12,7 @@ from tessera.plans.compiler import FeatureModel, fit
 from tessera.plans.graph import Graph
 from tessera.search.samplers import AutonomousSampler, Client, Context, EvolutionSampler, HybridSampler, ModelSampler, RandomSampler, prompt, strict_json
 from tessera.search.study import Budget, Study
+from tessera.sources.artifacts import Artifacts
 from tessera.sources.ledger import Ledger, LedgerLocked
 
 
@@ -146,6 +147,32 @@ def test_search_resumes_and_is_deterministic(spark, loans, tmp_path):
     assert len(d.trials) == 1
 
 
+def test_studies_share_evaluations(spark, loans, tmp_path):
+    """Another study of the same data, by another strategy, fits nothing that was fitted; other data share nothing."""
+    seen = []
+    for k, data in enumerate((loans, loans.repartition(3), loans.withColumn("loan", F.col("loan") + 1))):
+        (tmp_path / str(k)).mkdir()
+        s = study(tmp_path / str(k), RandomSampler(3), strategy="independent" if k else "greedy", artifacts=Artifacts(str(tmp_path / "kept")))
+        s.optimize(data, "label", "fold", Budget(trials=1))
+        seen.append(([(t["state"], t["metrics"]) for t in s.trials], sum(t["fits"] for t in s.trials), s.artifacts.hits))
+    assert seen[0][0] == seen[1][0] and [x[1:] for x in seen] == [(4, 0), (0, 2), (4, 0)]
+
+
+def test_artifacts_are_whole_and_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.sources.artifacts.ENTRIES", 2)
+    for store in (Artifacts(), Artifacts(str(tmp_path))):
+        for k in range(3):
+            store.put("s", [k], {"v": k})
+        assert store.get("s", [2]) == {"v": 2} and store.get("t", [2]) is None
+        assert store.get("s", [0]) == (None if store.folder is None else {"v": 0})
+        with pytest.raises(ValueError):
+            store.put("s", [4], float("nan"))
+    assert len(list((tmp_path / "s").iterdir())) == 3
+    next((tmp_path / "s").iterdir()).write_text("{")
+    with pytest.raises(ValueError):
+        [store.get("s", [k]) for k in range(3)]
+
+
 def test_interruption_budget_and_duplicates(spark, loans, tmp_path):
     class Same:
         def sample(self, context):
