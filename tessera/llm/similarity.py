@@ -205,7 +205,7 @@ def groups(reps: DataFrame, scratch: c.Scratch, group_rows: int, group_shingles:
 
 
 def join(documents: DataFrame, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """One row per document row: uid, doc_id, class_id (least id among all rows reached by links) and n_links (rows linked to it)."""
+    """One row per document row: uid, root (the same for all rows reached by links, and for no others), doc_id, class_id (least id among those rows) and n_links (rows linked to it)."""
     spark, scratch = documents.sparkSession, c.Scratch(documents.sparkSession)
     docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.put(docs.mapInArrow(sign, "uid long, doc_id long, digest binary, shingles long, bands array<long>"), "signatures")
@@ -229,25 +229,25 @@ def join(documents: DataFrame, group_rows: int = GROUP_ROWS, group_shingles: int
     per = folded.join(links, "uid", "left").join(classes.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     per = scratch.put(per, "classes")
     least = per.groupBy("root").agg(F.min("least").alias("class_id"))
-    per = per.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per = per.join(least, "root").select("digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("uid", "doc_id", "digest").join(per, "digest", "left")
-    return out.select("uid", "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("uid", F.coalesce("root", "uid").alias("root"), "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, all columns, of which each class keeps one: that of the least id (of rows that share it, the first read)."""
+    """The rows of ``documents``, all columns, of which each set of linked rows keeps one: that of the least id (of rows that share it, the first read)."""
     rows = documents.withColumn("__row", F.monotonically_increasing_id())
     found = c.Scratch(documents.sparkSession).put(join(documents), "classes")
-    # Rows without links stay; of the others, each class keeps its least row by (id, place).
+    # Rows without links stay; of the others, each component keeps its least row by (id, place). Its class id may be null or another's too.
     linked = found.where("n_links > 0")
-    first = linked.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid"))["uid"].alias("uid")).select("uid")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid"))["uid"].alias("uid")).select("uid")
     gone = linked.select("uid").join(first, "uid", "left_anti")
     side = F.broadcast(gone) if linked.count() <= BROADCAST_ROWS else gone
     return rows.join(side, rows["__row"] == side["uid"], "left_anti").drop("__row")
 
 
 def op1_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("uid")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("uid", "root")
 
 
 OP1_SQL = r"""

@@ -75,6 +75,14 @@ def test_one_of_each_class_stays(docs, rows):
     assert ids.count(5) == 1 and 100 not in ids and 200 not in ids and 400 in ids and 401 in ids
 
 
+def test_one_of_each_tells_classes_of_one_id_apart(spark):
+    rng = random.Random(11)
+    a, b, d, e = (text(rng, 40) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (None, b), (None, b), (1, d), (2, d), (1, e), (3, e), (4, text(rng, 40)), (None, text(rng, 40))]
+    kept = similarity.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=rank) == sorted({(None, a), (None, b), (1, d), (1, e), *rows[9:]}, key=rank)
+
+
 def test_banding_reaches_its_recall():
     b, r = similarity.bands_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= 160
