@@ -19,7 +19,6 @@ from tessera.plans.graph import Graph
 
 #: Rows on which importance is measured, at most (hash order).
 SHUFFLED_ROWS = 500
-LEVELS = 32
 
 
 @dataclass(frozen=True)
@@ -78,8 +77,16 @@ class FoldPipeline:
         self.medians = prep.medians(frame, self.numeric)
         filled = prep.impute(frame, self.medians) if self.numeric else frame
         self.scales = prep.scales(filled, self.numeric)
-        # At most LEVELS values per column stand in the plan; others share the last place.
-        self.levels = {n: [r["value"] for r in prep.ranked_levels(frame, n, LEVELS).where(F.col("slot") < LEVELS - 1).orderBy("slot").collect()] for n in self.features.names if kinds[n] == "categorical"}
+        # Columns of more than MOST_CATEGORIES values keep the most frequent; the others seen share the last place, by a join.
+        self.levels, self.rare = {}, {}
+        for n in self.features.names:
+            if kinds[n] == "categorical":
+                ranked = prep.ranked_levels(frame, n).persist()
+                self.levels[n] = [r["value"] for r in ranked.groupBy("slot").agg(F.min("value").alias("value"), F.count("*").alias("n")).where("n = 1").orderBy("slot").collect()]
+                if ranked.count() > prep.MOST_CATEGORIES:
+                    self.rare[n] = ranked
+                else:
+                    ranked.unpersist()
         ready = self.prepare(filled).persist()
         n, spread = ready.agg(F.count("*"), F.stddev_pop(self.label)).first()
         width = len(self.inputs)
@@ -90,12 +97,21 @@ class FoldPipeline:
 
     @property
     def inputs(self) -> list[str]:
-        return [f"n_{k}" for k in range(len(self.numeric))] + [f"c_{k}_{j}" for k, own in enumerate(self.levels.values()) for j in range(len(own))]
+        return [f"n_{k}" for k in range(len(self.numeric))] + [f"c_{k}_{j}" for k, own in enumerate(self.levels.values()) for j in range(len(own))] + [f"r_{k}" for k in range(len(self.rare))]
 
     def prepare(self, frame: DataFrame) -> DataFrame:
         values = [((F.coalesce(F.col(c), F.lit(self.medians[c])) - self.scales[c][0]) / self.scales[c][1]).alias(f"n_{k}") for k, c in enumerate(self.numeric)]
         values += [(F.col(c) == v).cast("double").alias(f"c_{k}_{j}") for k, (c, own) in enumerate(self.levels.items()) for j, v in enumerate(own)]
-        return VectorAssembler(inputCols=self.inputs, outputCol="features").transform(frame.select("*", *values)).drop(*self.inputs)
+        columns = frame.columns
+        for k, (c, ranked) in enumerate(self.rare.items()):
+            frame = prep.one_hot(frame, c, ranked, f"r_{k}")
+            values.append((F.coalesce(f"r_{k}", F.lit(-1)) == prep.MOST_CATEGORIES - 1).cast("double").alias(f"r_{k}"))
+        return VectorAssembler(inputCols=self.inputs, outputCol="features").transform(frame.select(*columns, *values)).drop(*self.inputs)
+
+    def release(self) -> None:
+        self.features.release()
+        for ranked in self.rare.values():
+            ranked.unpersist()
 
     def predict(self, frame: DataFrame) -> DataFrame:
         """Of compiled columns: prediction, and p (array of class probabilities) for classifiers."""
@@ -135,7 +151,7 @@ def evaluate(df: DataFrame, graph: Graph, label: str, fold: str, names: list[str
             gain.append(importance(pipe, valid, label, names[0], classes, row_id))
             rho.append(directions(pipe, valid, label, fold))
         valid.unpersist()
-        pipe.features.release()
+        pipe.release()
     mean = {n: sum(x[n] for x in per) / len(per) for n in names}
     average = lambda rows: {c: sum(x[c] for x in rows) / len(rows) for c in (rows[0] if rows else {})}
     sign = {c: "increasing" if v > 0.05 else "decreasing" if v < -0.05 else "unknown" for c, v in average(rho).items()}

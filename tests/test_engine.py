@@ -306,3 +306,19 @@ def test_command_line_picks_the_best_by_the_metric(tmp_path, capsys):
         Ledger(path).save({"number": number, "state": "COMPLETE", "value": value, "features": [number]}, "study", {"metric": "rmse"})
     assert main(["inspect", path]) == 0
     assert json.loads(capsys.readouterr().out)["best"] == {"number": 1, "value": 0.4}
+
+
+@pytest.mark.parametrize("kinds, width", [(32, 32), (128, 128), (129, 128), (140, 128)])
+def test_one_hot_keeps_128_values_and_a_place_for_the_rare(spark, kinds, width):
+    from tessera.operators.evaluate import ESTIMATORS, FoldPipeline
+
+    data = Dataset.parse({"fields": [field("region", "categorical")]})
+    rows = [(f"k{k:03}", float(j % 2)) for k in range(kinds) for j in range(3 if k < 127 else 2)]
+    train = spark.createDataFrame(rows, "region string, label double")
+    pipe = FoldPipeline(Graph.of(data, []), "label", ESTIMATORS["logistic"], {}, 2).fit(train, ("label",))
+    seen = spark.createDataFrame([(f"k{k:03}", 0.0) for k in range(kinds)] + [("new", 0.0)], "region string, label double")
+    ready = pipe.prepare(pipe.features.transform(seen, keep=("label",))).collect()
+    hot = [tuple(r.features.toArray().nonzero()[0]) for r in ready]
+    assert all(len(r.features) == width for r in ready) and sorted(map(len, hot)) == [0] + [1] * kinds
+    assert len(set(hot)) == width + 1 and max(map(hot.count, hot)) == max(1, kinds - 127)
+    pipe.release()
