@@ -13,10 +13,10 @@ byte, the last two, the last three, and the last letters of the current word),
 which bytes followed, and hence how often each node went right. Their
 predictions in the logistic domain are combined by weights that the node
 selects (the gate). Weights are learnt online, by gradient steps over blocks
-of every eighth training document, which the predictors have not yet counted
-then; a last stage (adaptive probability map) refines the mixed prediction by
-what followed such predictions at that node. After that the predictors take in
-those documents too. The final tables have a fixed size, whatever the corpus;
+of all training documents, in two halves: each half is predicted by what the
+other half counted; a last stage (adaptive probability map) refines the mixed
+prediction by what followed such predictions at that node. Scoring predicts by
+the counts of both halves. The final tables have a fixed size, whatever the corpus;
 counting covers every byte of every training text.
 
 Defined results: null texts count as empty, whose only token and symbol is the
@@ -45,8 +45,6 @@ HEAVY = 1 << 19
 CONTEXTS = (1 << 8, 1 << 14, 1 << 15, 1 << 15)
 STARTS = np.concatenate([[0], np.cumsum(CONTEXTS)]) * 256
 SEGMENT = 1 << 16
-#: One training document in so many teaches the weights before it is counted.
-MIX_FOLD = 8
 END = 255
 STEP = 1 << 15
 #: Symbols scored at a time.
@@ -230,7 +228,7 @@ class Tree:
 
 
 def learner(tree: Tree, table, rate: float = 0.02):
-    """Over held-back documents: online weights and the refining counts of this worker, and what the predictors would count."""
+    """Over documents that the table has not counted: online weights and the refining counts of this worker."""
 
     def run(batches):
         stretch = table.value
@@ -238,11 +236,9 @@ def learner(tree: Tree, table, rate: float = 0.02):
         w = np.full((256, m), 0.4, np.float32)
         seen = np.zeros(256)
         apm = np.zeros((256, LEVELS // 8, 2))
-        counts = np.zeros(STARTS[-1], np.int32)
         for batch in c.pieces(batches, most=PIECE):
             sym, offsets = symbols(batch.column("text"))
             rows = contexts(sym, offsets)
-            count_contexts(counts, sym, rows)
             for k in range(0, len(sym), STEP):
                 own = slice(k, k + STEP)
                 for at, node, bit in tree.steps(sym[own]):
@@ -257,10 +253,9 @@ def learner(tree: Tree, table, rate: float = 0.02):
                     q = np.clip((dot * 8).astype(np.int32) + LEVELS // 2, 0, LEVELS - 1) >> 3
                     apm += np.bincount((node * (LEVELS // 8) + q) * 2 + bit, minlength=apm.size).reshape(apm.shape)
         blob = np.concatenate([(w * seen[:, None]).ravel(), seen, apm.ravel()]).astype(np.float64)
-        packed = [(-1, zstandard.compress(blob.tobytes())), *sparse(counts)] if seen.any() else []
-        if packed:
-            part = int(packed[-1][0] + len(blob) + seen.sum()) & 0x7FFFFFFF
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in packed], pa.int32()), pa.array([part] * len(packed), pa.int32()), pa.array([x for _, x in packed], pa.binary())], ["segment", "part", "blob"])
+        if seen.any():
+            part = int(len(blob) + seen.sum()) & 0x7FFFFFFF
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([zstandard.compress(blob.tobytes())], pa.binary())], ["segment", "part", "blob"])
 
     return run
 
@@ -290,9 +285,11 @@ class Model:
         self.tree = tree
         w = np.full((256, m), 0.4)
         apm = np.zeros((256, LEVELS // 8, 2))
+        #: Decisions by node that taught the weights and the map.
+        self.seen = np.zeros(256)
         if learnt is not None:
-            seen = learnt[256 * m : 256 * m + 256]
-            w = np.where(seen[:, None] > 0, learnt[: 256 * m].reshape(256, m) / np.maximum(seen, 1)[:, None], w)
+            self.seen = learnt[256 * m : 256 * m + 256]
+            w = np.where(self.seen[:, None] > 0, learnt[: 256 * m].reshape(256, m) / np.maximum(self.seen, 1)[:, None], w)
             apm = learnt[256 * m + 256 :].reshape(apm.shape)
         self.weighted = np.empty(len(stretch), np.int16)
         for k in range(m):
@@ -340,7 +337,7 @@ class Model:
 def train_model(train: DataFrame) -> Model:
     """``train`` has columns doc_id and text."""
     spark = train.sparkSession
-    held_back = F.pmod(F.crc32(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))), F.lit(MIX_FOLD)) == 0
+    second = F.pmod(F.crc32(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))), F.lit(2)) == 1
     texts = lambda df: df.select(F.col("text").cast("string").alias("text"))
     schema = "segment int, part int, blob binary"
     fan = max(1, math.isqrt(train.rdd.getNumPartitions()))
@@ -353,15 +350,23 @@ def train_model(train: DataFrame) -> Model:
                 at, n = unpacked(bytes(r["blob"]))
                 counts[r["segment"] * SEGMENT + at.astype(np.int64)] += n
 
-    add(summed(parts(texts(train.where(~held_back)).mapInArrow(counter, schema)), fan))
+    halves = [texts(train.where(~second)), texts(train.where(second))]
+    # Blobs are small, so that only one table is unpacked at a time.
+    blobs = [summed(parts(half.mapInArrow(counter, schema)), fan) for half in halves]
+    for own in blobs:
+        add(own)
     tree = Tree(counts[: STARTS[1]].reshape(256, 256).sum(axis=0))
-    table = spark.sparkContext.broadcast(tree.stretched(counts))
-    learnt = c.Scratch(spark)
-    rows = learnt.put(parts(texts(train.where(held_back)).mapInArrow(learner(tree, table), schema)), "learnt")
-    own = rows.where("segment < 0").groupBy("part").applyInArrow(add_learnt, schema).withColumn("segment", F.lit(-1)).groupBy("segment").applyInArrow(add_learnt, schema).collect()
-    add(summed(rows.where("segment >= 0"), fan))
-    learnt.close()
-    table.destroy()
+    scratch, learnt = c.Scratch(spark), []
+    for half, other in zip(halves, reversed(blobs), strict=True):
+        counts[:] = 0
+        add(other)
+        table = spark.sparkContext.broadcast(tree.stretched(counts))
+        learnt.append(scratch.put(parts(half.mapInArrow(learner(tree, table), schema)), "learnt"))
+        table.destroy()
+    add(blobs[1])  # to those of the first half
+    rows = learnt[0].unionByName(learnt[1])
+    own = rows.groupBy("part").applyInArrow(add_learnt, schema).withColumn("segment", F.lit(-1)).groupBy("segment").applyInArrow(add_learnt, schema).collect()
+    scratch.close()
     return Model(tree, tree.stretched(counts), np.frombuffer(zstandard.decompress(bytes(own[0]["blob"])), np.float64) if own else None)
 
 

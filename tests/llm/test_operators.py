@@ -263,6 +263,15 @@ def test_scores_match_unigrams_and_form_a_distribution(spark, docs, rows):
     assert abs(p.sum(axis=1) - 1).max() < 1e-5
 
 
+@pytest.mark.parametrize("ids", [range(1, 2), range(40)])
+def test_all_training_rows_teach_the_weights(spark, ids):
+    rng = random.Random(4)
+    train = [(i, text(rng, 30)) for i in ids]
+    model = scoring.train_model(spark.createDataFrame(train, "doc_id long, text string"))
+    coded = [b for _, t in train for b in (*t.encode(), scoring.END)]
+    assert model.seen.sum() == sum(int(model.tree.length[b]) for b in coded)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], SCHEMA)
     b = spark.createDataFrame([], "item_id long, text string")
