@@ -8,6 +8,8 @@ whole batches, without a Python loop over words or characters.
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # ---------------------------------------------------------------- scratch
 
@@ -24,9 +27,10 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; only where unset, a local one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -34,14 +38,15 @@ def scratch_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once and read again, which cuts lineage: a lost executor costs no more than its own tasks.
 
-    ``put`` writes and rereads a table; ``drop`` removes one that is no longer
-    read; what is left goes when the driver ends.
+    ``put`` writes and rereads a table; ``drop`` removes tables that are no
+    longer read; what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.schemas: dict[str, StructType] = {}
         self.count = 0
         atexit.register(self.close)
 
@@ -49,11 +54,20 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{name}-{self.count}"
         df.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.paths[name], self.schemas[name] = path, df.schema
+        return self.table(name)
 
-    def drop(self, name: str) -> None:
-        self._remove(self.paths.pop(name, None))
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(self.paths[name])
+
+    def rename(self, name: str, new: str) -> None:
+        """The table ``name`` takes the place of the table ``new``, which goes."""
+        self._remove(self.paths.get(new))
+        self.paths[new], self.schemas[new] = self.paths.pop(name), self.schemas.pop(name)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(self.paths.pop(name, None))
 
     def close(self) -> None:
         atexit.unregister(self.close)
@@ -68,6 +82,43 @@ class Scratch:
             pass
 
 
+def _repeats(df: DataFrame) -> bool:
+    """Whether every scan of ``df`` gives the same rows in the same partitions: a scan of files, projected and filtered."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation") or not plan.deterministic():
+            return False
+        todo += [plan.children().apply(k) for k in range(plan.children().length())]
+    return True
+
+
+def identified(df: DataFrame, scratch: Scratch, uid: str = "uid") -> DataFrame:
+    """``df`` with a column of row ids that stay the same in every scan and every retried task.
+
+    Ids count rows by partition, so partitions must repeat. A scan of files
+    repeats them once the number of splits no longer follows the cores at hand,
+    which is fixed here; any other plan is written once and read again.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+    if not _repeats(df):
+        df = scratch.put(df, "rows")
+    return df.withColumn(uid, F.monotonically_increasing_id())
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from the columns (in any case)."""
+    taken, out = {x.lower() for x in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null ids give -1."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)), F.lit(-1))

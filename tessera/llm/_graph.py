@@ -16,30 +16,37 @@ def components(edges: DataFrame, scratch: c.Scratch) -> DataFrame:
 
     Every round links each node's larger neighbours to its least one, and then
     its smaller ones, until stars remain. Minima are combined before the
-    shuffle, and rounds are written to the shared folder, so that lineage stays
-    short. Minima of hubs (fewer than HUBS, whatever the graph) are broadcast to
-    the edges where they lie, so that no node's neighbours are gathered.
+    shuffle. Minima and edges are written to the shared folder, which keeps
+    lineage and plans short and tells their sizes to the optimizer. Minima of
+    hubs (fewer than HUBS, whatever the graph), where there are any, are
+    broadcast to the edges where they lie, so that no node's neighbours are
+    gathered.
     """
-    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
-    state, k = _state(now), 0
+    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = _state(now)
     while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, down, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.put(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), f"edges-{k + 1}")
-        scratch.drop(f"edges-{k}")
-        now, k = after, k + 1
-        before, state = state, _state(now)
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both, 2 * state[0], scratch).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = scratch.put(large, "large")
+        scratch.drop("least")
+        small = _with_least(large, 2 * state[0], scratch).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = scratch.table("least").select("u", F.col("m").alias("v"))
+        after = scratch.put(small.unionByName(down).distinct(), "next")
+        scratch.drop("least", "large")
+        scratch.rename("next", "edges")
+        now, before = after, state
+        state = _state(now)
         if state == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
-    """The edges (u, v) with the least neighbour m of u; ``ends`` is at least the number of edges given."""
-    hub = F.col("n") * HUBS > ends
+def _with_least(edges: DataFrame, ends: int, scratch: c.Scratch) -> DataFrame:
+    """The edges (u, v) with the least neighbour m of u, which is also left as table ``least``; ``ends`` is at least the number of edges given."""
+    least = scratch.put(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hub = F.col("n") > ends // HUBS
+    if not least.where(hub).limit(1).count():
+        return edges.join(least.select("u", "m"), "u")
     marked = edges.join(F.broadcast(least.where(hub).select("u", "m")), "u", "left")
     rest = marked.where("m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
     return marked.where("m is not null").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))

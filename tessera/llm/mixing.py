@@ -12,7 +12,7 @@ documents in order up to the exact word at which the budget ends.
 Defined results: null texts have size 0 and are taken 0 times; null sources
 are one source, the last; null ids order like empty ones; repeated rows are
 documents of their own; an empty table gives no rows and a table without words
-targets 0; extra columns pass through ``mix``.
+targets 0; extra columns of any name pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def take(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, scratch: c.Sc
 
 
 def narrowed(documents: DataFrame, *more: Column) -> DataFrame:
-    return documents.select("doc_id", F.col("source").alias("__source"), size_of(F.col("text")).alias("__size"), *more)
+    return documents.select("doc_id", F.col("source").cast("string").alias("__source"), size_of(F.col("text")).alias("__size"), *more)
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -93,18 +93,19 @@ def mix(documents: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     after it, so a row needs no more than its source's cut: texts aren't shuffled.
     """
     scratch = c.Scratch(documents.sparkSession)
-    rows = documents.withColumn("__row", F.monotonically_increasing_id())
-    narrow = scratch.put(narrowed(rows, F.col("__row")), "sizes")
+    # The columns travel as one, so that none meets a name of this module.
+    rows = c.identified(documents.select(F.struct(*(F.col(f"`{x}`") for x in documents.columns)).alias("row")), scratch, "__row")
+    narrow = scratch.put(narrowed(rows.select("row.doc_id", "row.source", "row.text", "__row"), F.col("__row")), "sizes")
     taken = take(narrow, weights, epochs, scratch, order=("__row",)).where("__size > 0")
     once_more = 2 * (F.col("__taken") - F.col("__whole") * F.col("__size")) >= F.col("__size")
     place = F.struct(F.col("__key"), F.col("__row"))
     cuts = taken.groupBy("__source").agg(F.max("__whole").alias("__whole"), F.max(F.when(once_more, place)).alias("__cut"))
     cuts = scratch.put(cuts.select(F.coalesce(F.concat(F.lit("s"), "__source"), F.lit("")).alias("__name"), "__whole", "__cut"), "cuts")
-    named = rows.withColumn("__name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("__key", order_key(F.col("doc_id")))
+    named = rows.withColumn("__name", F.coalesce(F.concat(F.lit("s"), "row.source"), F.lit(""))).withColumn("__key", order_key(F.col("row.doc_id")))
     more = F.coalesce(place <= F.col("__cut"), F.lit(False)).cast("int")
-    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    words = F.coalesce(F.col("row.text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     copies = named.join(cuts, "__name").withColumn("__copies", F.when(words, F.col("__whole").cast("int") + more).otherwise(0)).where("__copies > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*documents.columns)
+    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ from the training sample. The pairwise part is scored in linear time by the
 sum-of-squares identity, 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 The model is fitted on at most SAMPLE labelled rows (those with the smallest
-hashes of their ids), which bounds what the driver gathers; every row is
-scored. Labels, language, source and id are never features.
+hashes of their ids) and SAMPLE_BYTES of their features, by one task; the
+driver receives the fitted weights alone. Every row is scored. Labels,
+language, source and id are never features.
 
 Defined results: null texts count as empty and get the score of an empty text;
 rows whose label is null are not learnt from; of several labels of one id the
@@ -18,10 +19,12 @@ repeated rows are scored alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _core as c
@@ -31,6 +34,8 @@ BINS = 8
 RANK = 8
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Bytes of the features of these rows, at most: rows in the order of their hashes, up to the first that passes the bound.
+SAMPLE_BYTES = 128 << 20
 #: Bytes of text that a worker turns into features at a time.
 PIECE = 1 << 21
 FOLDS, HELD_OUT = 4, 2
@@ -152,8 +157,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Machine | None:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> Machine | None:
+    """Fit on at most ``sample`` labelled documents, and ``sample_bytes`` of their features, outside the held-out fold."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (c.fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), label)
     chosen = chosen.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -165,13 +170,19 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label:
             packed = [np.concatenate([stats[i].astype(np.float32).view(np.uint8), s[at[i] : at[i + 1]].astype(np.int32).view(np.uint8), value[at[i] : at[i + 1]].astype(np.float32).view(np.uint8)]).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"])
 
-    # Rows that repeat an id count once, so a hot id can't pass the bound.
-    got = rows.mapInArrow(parts, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("doc_id")
-    if not got.num_rows:
-        return None
-    # Unpacked straight into the arrays of the fit: the driver holds the sample once.
-    k, n = len(STATISTICS), got.num_rows
-    blobs = got.column("x").combine_chunks()
+    # Rows that repeat an id count once, so a hot id can't pass the bound. The window is over the bounded sample.
+    sampled = rows.mapInArrow(parts, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    running = F.sum(F.octet_length("x").cast("long")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    bounded = sampled.withColumn("bytes", running).where(F.col("bytes") <= sample_bytes).select(F.lit(0).alias("one"), "doc_id", "y", "x")
+    found = bounded.groupBy("one").applyInArrow(fitted, "machine binary").collect()
+    return pickle.loads(bytes(found[0]["machine"])) if found else None
+
+
+def fitted(table: pa.Table) -> pa.Table:
+    """The pickled machine of a sample of packed rows (doc_id, y, x)."""
+    table = table.sort_by("doc_id")
+    k, n = len(STATISTICS), table.num_rows
+    blobs = table.column("x").combine_chunks()
     sizes = (pc.binary_length(blobs).to_numpy() // 4 - k) // 2
     at = np.concatenate([[0], np.cumsum(sizes)])
     d = np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -181,23 +192,20 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label:
         stats[i] = np.frombuffer(x, np.float32, k)
         s[at[i] : at[i + 1]] = np.frombuffer(x, np.int32, words, 4 * k)
         v[at[i] : at[i + 1]] = np.frombuffer(x, np.float32, words, 4 * (k + words))
-    edges = np.stack([np.quantile(stats[:, j], np.arange(1, BINS) / BINS) for j in range(k)])
-    machine = Machine(edges)
-    y = got.column("y").to_numpy().astype(np.float32)
-    del got, blobs
-    pa.default_memory_pool().release_unused()
-    return machine.fit(*machine.design(d, s, v, stats), y)
+    machine = Machine(np.stack([np.quantile(stats[:, j], np.arange(1, BINS) / BINS) for j in range(k)]))
+    y = table.column("y").to_numpy().astype(np.float32)
+    return pa.table({"machine": pa.array([pickle.dumps(machine.fit(*machine.design(d, s, v, stats), y))], pa.binary())})
 
 
-def score(documents: DataFrame, machine: Machine | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of all rows, with a score (column __score)."""
+def score(documents: DataFrame, machine: Machine | None, keep: list[str], name: str = "__score") -> DataFrame:
+    """The columns ``keep`` of all rows, with a score (column ``name``, which must be none of theirs)."""
     kept = documents.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = kept.select(*keep).withColumn("__score", F.lit(0.5).cast("double")).schema
+    schema = kept.select(*keep).withColumn(name, F.lit(0.5).cast("double")).schema
 
     def parts(batches):
         for batch in c.pieces(batches, most=PIECE):
             scores = machine.score(batch.column("text")) if machine else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores)], [*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores)], [*keep, name])
 
     return kept.mapInArrow(parts, schema)
 

@@ -10,7 +10,8 @@ Defined results: null texts count no bytes; null ids hash like an empty id;
 rows that share an id share a hash, so a bucket whose rows all have one hash
 can't be split by bits: it is cut into numbered overflow parts, each within
 the limit unless it is a single larger document, which gets a shard alone; an
-empty table gives no shards; extra columns pass through ``assign``.
+empty table gives no shards; extra columns of any name pass through ``assign``
+inside ``row``.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BITS = 60
 LEVELS = 10
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 64 << 20
+#: Shards that one task fills of a single hash over the limit, about.
+LIST_SHARDS = 16
 #: Directory entries that may be broadcast (about 40 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -37,11 +40,11 @@ def text_size(text: Column) -> Column:
 
 
 def directory(hashes: DataFrame, limit: int, scratch: c.Scratch) -> DataFrame:
-    """Leaves of the directory: depth, first hash (``lo``), last hash (``hi``) and bytes. ``hashes`` has columns __h and __bytes."""
+    """Leaves of the directory: depth, first hash (``lo``), last hash (``hi``) and bytes. ``hashes`` has columns h and n_bytes."""
     leaves, open_rows, base = None, hashes, 0
     while True:
         top = min(BITS, base + LEVELS)
-        cells = open_rows.groupBy(F.shiftright("__h", BITS - top).alias("cell")).agg(F.sum("__bytes").alias("bytes"))
+        cells = open_rows.groupBy(F.shiftright("h", BITS - top).alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
         # Totals of each level between base and top; the shallowest level that fits is the cell's leaf.
         cells = scratch.put(cells, "cells")
         levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {top} - depth)"))
@@ -56,55 +59,54 @@ def directory(hashes: DataFrame, limit: int, scratch: c.Scratch) -> DataFrame:
         over = cells.where(F.col("bytes") > limit).select("cell")
         if not over.limit(1).count():
             break
-        open_rows = open_rows.join(over, F.shiftright("__h", BITS - top) == F.col("cell"), "left_semi")
+        open_rows = open_rows.join(over, F.shiftright("h", BITS - top) == F.col("cell"), "left_semi")
         base = top
     return leaves.select("depth", "prefix", "bytes", F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("lo"), F.expr(f"shiftleft(prefix + 1, {BITS} - depth) - 1").alias("hi"))
 
 
 def assign(documents: DataFrame, limit: int = SHARD_BYTES, scratch: c.Scratch | None = None) -> DataFrame:
-    """All rows and columns, with __bytes, __depth, __shard (the prefix as bits) and __shard_bytes."""
+    """Of each row: ``row`` (a struct of all its columns), n_bytes, depth, shard (the prefix as bits) and shard_bytes."""
     spark = documents.sparkSession
     scratch = scratch or c.Scratch(spark)
-    hashes = scratch.put(documents.select(hashed(F.col("doc_id")).alias("__h"), text_size(F.col("text")).alias("__bytes")), "hashes")
+    rows = c.identified(documents.select(F.struct(*(F.col(f"`{x}`") for x in documents.columns)).alias("row")), scratch).withColumns({"h": hashed(F.col("row.doc_id")), "n_bytes": text_size(F.col("row.text"))})
+    hashes = scratch.put(rows.select("h", "n_bytes"), "hashes")
     leaves = scratch.put(directory(hashes, limit, scratch), "directory")
     n, deepest = leaves.agg(F.count("*"), F.coalesce(F.max("depth"), F.lit(0))).first()
     # Rows meet their leaf on the first k bits; leaves above that depth stand in every cell they cover (at most 8 n cells).
     k = min(deepest, max(1, n).bit_length() + 2)
-    entries = leaves.select("*", F.explode(F.sequence(F.expr(f"shiftright(lo, {BITS - k})"), F.expr(f"shiftright(hi, {BITS - k})"))).alias("__cell"))
+    entries = leaves.select("depth", "prefix", "lo", "hi", F.col("bytes").alias("shard_bytes"), F.explode(F.sequence(F.expr(f"shiftright(lo, {BITS - k})"), F.expr(f"shiftright(hi, {BITS - k})"))).alias("cell"))
     if n * 8 <= BROADCAST_ROWS:
         entries = F.broadcast(entries)
-    rows = documents.withColumns({"__h": hashed(F.col("doc_id")), "__bytes": text_size(F.col("text"))}).withColumn("__cell", F.shiftright("__h", BITS - k))
-    placed = _placed(rows, entries)
-    if deepest < BITS:
-        return placed.drop("__h", "__prefix")
-    # One hash over the limit: parts of a running sum, in byte order.
-    full = (F.col("__depth") == BITS) & (F.col("__shard_bytes") > limit)
-    w = Window.partitionBy("__h").orderBy("__bytes", F.xxhash64("text"))
-    parted = placed.where(full).withColumn("__before", F.sum("__bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = rows.withColumn("cell", F.shiftright("h", BITS - k)).join(entries, "cell").where("h between lo and hi")
+    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(F.col("prefix")), F.col("depth"), F.lit("0")))
+    columns = ("row", "n_bytes", "depth", "shard", "shard_bytes")
+    placed = placed.withColumn("shard", bits)
+    full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
+    if deepest < BITS or not leaves.where((F.col("depth") == BITS) & (F.col("bytes") > limit)).limit(1).count():
+        return placed.select(*columns)
+    # One hash over the limit: its rows are dealt to lists of a few shards' bytes, and each list is cut into parts of a
+    # running sum in byte order. Rows over half the limit stand alone; smaller ones fill parts of a half, which they pass
+    # by less than another half. Only narrow rows are sorted; rows meet their part by their id.
+    lists = F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / (LIST_SHARDS * limit))).cast("long")
+    narrow = placed.where(full).select("uid", "h", "n_bytes", "shard", F.pmod(F.xxhash64("uid"), lists).alias("list"))
+    w = Window.partitionBy("h", "list").orderBy("n_bytes", "uid")
     half = max(1, limit // 2)
-    # Rows over half the limit stand alone; smaller ones fill parts of a half, which they pass by less than another half.
-    number = F.when(F.col("__bytes") > half, F.concat(F.lit("-one-"), F.row_number().over(w).cast("string"))).otherwise(F.concat(F.lit("-"), F.floor(F.coalesce("__before", F.lit(0)) / half).cast("string")))
-    parted = parted.withColumn("__shard", F.concat("__shard", number)).drop("__before")
-    sums = parted.groupBy("__h", "__shard").agg(F.sum("__bytes").alias("__shard_bytes"))
-    parted = parted.drop("__shard_bytes").join(sums, ["__h", "__shard"])
-    return placed.where(~full).unionByName(parted).drop("__h", "__prefix")
-
-
-def _placed(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    side = entries.select(F.col("__cell").alias("__entry"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("depth").alias("__depth"), F.col("prefix").alias("__prefix"), F.col("bytes").alias("__shard_bytes"))
-    joined = rows.join(side, (F.col("__cell") == F.col("__entry")) & (F.col("__h") >= F.col("__lo")) & (F.col("__h") <= F.col("__hi")))
-    bits = F.lpad(F.bin(F.col("__prefix")), F.col("__depth"), F.lit("0"))
-    return joined.withColumn("__shard", F.when(F.col("__depth") == 0, F.lit("")).otherwise(bits)).drop("__cell", "__entry", "__lo", "__hi")
+    before = F.coalesce(F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.when(F.col("n_bytes") > half, F.concat(F.lit("-one-"), F.row_number().over(w).cast("string"))).otherwise(F.concat(F.lit("-"), F.floor(before / half).cast("string")))
+    narrow = scratch.put(narrow.withColumn("part", F.concat("shard", F.lit("-"), F.col("list").cast("string"), number)), "overflow")
+    sums = narrow.groupBy("h", "part").agg(F.sum("n_bytes").alias("part_bytes"))
+    parted = placed.where(full).join(narrow.join(sums, ["h", "part"]).select("uid", "part", "part_bytes"), "uid")
+    return placed.where(~full).select(*columns).unionByName(parted.select("row", "n_bytes", "depth", F.col("part").alias("shard"), F.col("part_bytes").alias("shard_bytes")))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """One folder per shard, each written by one task per shard."""
-    assigned.repartition(c.partitions(assigned.sparkSession), "__shard").write.partitionBy("__shard").parquet(path)
+    """One folder per shard, each written by one task per shard. The documents must have no column ``shard``."""
+    assigned.select("row.*", "shard").repartition(c.partitions(assigned.sparkSession), "shard").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str, limit: int = SHARD_BYTES) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return assign(docs, limit).select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("__depth").cast("int").alias("depth"), F.col("__shard").alias("shard"), F.col("__shard_bytes").alias("shard_bytes"))
+    return assign(docs, limit).select("row.doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard", "shard_bytes")
 
 
 OP3_SQL = """

@@ -206,8 +206,13 @@ def groups(reps: DataFrame, scratch: c.Scratch, group_rows: int, group_shingles:
 
 def join(documents: DataFrame, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row per document row: uid, root (the same for all rows reached by links, and for no others), doc_id, class_id (least id among those rows) and n_links (rows linked to it)."""
-    spark, scratch = documents.sparkSession, c.Scratch(documents.sparkSession)
-    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = c.Scratch(documents.sparkSession)
+    docs = c.identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
+    return joined(docs, scratch, group_rows, group_shingles)
+
+
+def joined(docs: DataFrame, scratch: c.Scratch, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """``join`` of rows (uid, doc_id, text) whose ids repeat in every scan."""
     signed = scratch.put(docs.mapInArrow(sign, "uid long, doc_id long, digest binary, shingles long, bands array<long>"), "signatures")
     folded = signed.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     folded = scratch.put(folded, "folded")
@@ -224,26 +229,31 @@ def join(documents: DataFrame, group_rows: int = GROUP_ROWS, group_shingles: int
     rows = sets.join(reps, "uid").join(tasks, "uid").withColumn("pack", F.when(F.col("alone"), F.xxhash64("gid", "i", "j", "band")).otherwise(F.pmod(F.xxhash64("gid", "i", "j", "band"), F.lit(packs))))
     found = rows.groupBy("pack").applyInArrow(verify, "uid long, links long, root long")
     found = scratch.put(found, "links")
+    scratch.drop("groups", "representatives")
     classes = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     per = folded.join(links, "uid", "left").join(classes.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     per = scratch.put(per, "classes")
     least = per.groupBy("root").agg(F.min("least").alias("class_id"))
     per = per.join(least, "root").select("digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("uid", "doc_id", "digest").join(per, "digest", "left")
-    return out.select("uid", F.coalesce("root", "uid").alias("root"), "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.select("uid", "doc_id", "digest")
+    # Rows without words stay out of the join, where they would share one key.
+    bare = out.where("digest is null").select("uid", F.col("uid").alias("root"), "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.where("digest is not null").join(per, "digest").select("uid", "root", "doc_id", "class_id", "n_links").unionByName(bare)
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, of which each set of linked rows keeps one: that of the least id (of rows that share it, the first read)."""
-    rows = documents.withColumn("__row", F.monotonically_increasing_id())
-    found = c.Scratch(documents.sparkSession).put(join(documents), "classes")
+    scratch, columns = c.Scratch(documents.sparkSession), documents.columns
+    (row,) = c.fresh(columns, "__row")
+    rows = c.identified(documents, scratch, row)
+    found = joined(rows.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
     # Rows without links stay; of the others, each component keeps its least row by (id, place). Its class id may be null or another's too.
-    linked = found.where("n_links > 0")
+    linked = scratch.put(found.where("n_links > 0").select("uid", "root", "doc_id"), "linked")
     first = linked.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid"))["uid"].alias("uid")).select("uid")
     gone = linked.select("uid").join(first, "uid", "left_anti")
     side = F.broadcast(gone) if linked.count() <= BROADCAST_ROWS else gone
-    return rows.join(side, rows["__row"] == side["uid"], "left_anti").drop("__row")
+    return rows.join(side, rows[row] == side["uid"], "left_anti").select(columns)
 
 
 def op1_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

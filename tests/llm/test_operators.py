@@ -108,20 +108,21 @@ def test_topk_matches_brute_force(spark):
 @pytest.mark.parametrize("limit", [300, 2000, 10**9])
 def test_shards_fit_and_hold_all(docs, rows, limit):
     out = sharding.assign(docs, limit).collect()
-    assert sorted(((r.doc_id, r.text) for r in out), key=rank) == sorted(((r[0], r[1]) for r in rows), key=rank)
+    assert sorted((tuple(r.row) for r in out), key=rank) == sorted(rows, key=rank)
     held = {}
     for r in out:
-        held.setdefault(r["__shard"], []).append(len((r.text or "").encode()))
-        assert r["__bytes"] == len((r.text or "").encode())
+        held.setdefault(r.shard, []).append(len((r.row.text or "").encode()))
+        assert r.n_bytes == len((r.row.text or "").encode())
     for r in out:
-        assert r["__shard_bytes"] == sum(held[r["__shard"]])
+        assert r.shard_bytes == sum(held[r.shard])
     assert all(sum(x) <= limit or len([y for y in x if y]) == 1 for x in held.values())
 
 
 def test_shards_of_one_hot_id(spark):
-    df = spark.createDataFrame([(1, "x" * 50)] * 60 + [(2, "y" * 10)], "doc_id long, text string")
-    out = sharding.assign(df, 400).groupBy("__shard").agg(F.sum("__bytes").alias("n"), F.max("__shard_bytes").alias("m")).collect()
-    assert all(r.n == r.m and r.n <= 400 for r in out) and len(out) > 7
+    for hot in (1, None):
+        df = spark.createDataFrame([(hot, "x" * 50)] * 600 + [(2, "y" * 10)], "doc_id long, text string")
+        out = sharding.assign(df, 400).groupBy("shard").agg(F.sum("n_bytes").alias("n"), F.max("shard_bytes").alias("m"), F.count("*").alias("rows")).collect()
+        assert all(r.n == r.m and r.n <= 400 for r in out) and len(out) > 75 and sum(r.rows for r in out) == 601
 
 
 def test_mix_meets_targets(docs, rows):
