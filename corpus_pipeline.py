@@ -6,7 +6,8 @@ near_dups     of each class of near-duplicate documents (five-word shingles,
 decontaminate documents with an eight-word window of any benchmark item go
 mix           sources are taken to their target weights, at most three times over
 shard         every document gets its shard; the last stage adds the columns
-              n_bytes, shard and shard_bytes
+              n_bytes, shard and shard_bytes (with an underscore behind them
+              where the documents have such a column)
 
 The first three only ever drop rows, so documents that no rule is against stay.
 """
@@ -22,7 +23,8 @@ from tessera.llm import decontamination, mixing, quality, sharding, similarity
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, machine, docs.columns).where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    (score,) = core.fresh(docs.columns, "__score")
+    return quality.score(docs, machine, docs.columns, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    return sharding.assign(docs).select(*columns, F.col("__bytes").alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__shard_bytes").alias("shard_bytes"))
+    names = core.fresh(docs.columns, "n_bytes", "shard", "shard_bytes")
+    placed = sharding.assign(docs)
+    return placed.select("row.*", *(F.col(x).alias(name) for x, name in zip(("n_bytes", "shard", "shard_bytes"), names, strict=True)))
 
 
 STAGES = [
