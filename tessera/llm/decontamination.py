@@ -1,21 +1,28 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is indexed where it lies: each block of documents stores the
-postings (term, position) of its tokens, restricted to terms that occur in the
-benchmark, sorted by term and position. Benchmark windows start from the
-offset-adjusted posting list of their rarest term in that block and intersect
-it with the lists of the next rarest, so that common words cost little. No
-posting is shuffled; what goes to all executors is the benchmark, in chunks of
-bounded size (as many passes as there are chunks).
+The corpus is indexed once: each block of documents becomes one stored row with
+its terms (sorted hashes), and for each term the list of its positions in the
+block. The index is partitioned by documents, lies in the shared folder and is
+read again for every chunk of the benchmark; texts are read only once.
+
+Search takes distinct windows of benchmark items. Term counts of the whole
+index decide which of a window's terms is the rarest; in each block, the
+offset-adjusted list of that term is intersected with those of the next rarest
+ones, so that common words cost little. No posting is shuffled; what goes to
+all executors is the benchmark, in chunks of bounded size that are built, sent
+and forgotten one at a time.
 
 Defined results: null and empty texts have no words and no hits; repeated rows
 are documents of their own; items with null id or without words take no part,
 and rows that repeat an item id count as one item; an empty benchmark hits
-nothing; other columns pass through ``search`` unread.
+nothing; extra columns of any name are ignored by ``search`` and kept by
+``clean``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,149 +30,216 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _core as c
 
-#: Bytes of benchmark text that one chunk may hold on the driver and in each worker.
-CHUNK_BYTES = 32 << 20
+#: Bytes of benchmark text in a chunk (its windows take about ten times as much in the driver and in each worker).
+CHUNK_BYTES = 4 << 20
 #: Candidate places that are intersected at a time.
 CANDIDATES = 1 << 21
+#: Ids of rows to drop that may be broadcast (8 bytes each).
+BROADCAST_ROWS = 400_000
+#: Places by which a word of a proximity match of the query may be off its own.
+SLOP = 1
+BLOCK = "uids array<long>, doc_ids array<long>, first array<long>, terms binary, ends binary, positions binary"
 RESULT = "doc_id long, n_words long, spans array<struct<start:long,length:long>>, items array<string>, near_items array<string>"
 
 
+# ---------------------------------------------------------------- index
+
+
+def posted(batches):
+    """Blocks of documents as postings: ``positions`` lists the places (words of the block) of each term in turn, up to ``ends``."""
+    for batch in c.pieces(batches):
+        data, offsets = c.text_bytes(batch.column("text"))
+        starts, ends, first = c.find_words(data, offsets, c.ALNUM)
+        terms, at = np.unique(c.hash_spans(data, starts, ends), return_inverse=True)
+        positions = np.argsort(at, kind="stable").astype(np.int32)
+        until = np.cumsum(np.bincount(at, minlength=len(terms))).astype(np.int32)
+        lists = [pa.array([x.to_pylist()], pa.list_(pa.int64())) for x in (batch.column("uid"), c.long_column(batch, "doc_id"), pa.array(first))]
+        yield pa.RecordBatch.from_arrays([*lists, *(pa.array([x.tobytes()], pa.binary()) for x in (terms, until, positions))], ["uids", "doc_ids", "first", "terms", "ends", "positions"])
+
+
+def index(documents: DataFrame, scratch: c.Scratch) -> DataFrame:
+    """The stored index of rows (uid, doc_id, text)."""
+    return scratch.put(documents.mapInArrow(posted, BLOCK), "postings")
+
+
+def counted(vocabulary: np.ndarray):
+    def run(batches):
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for terms, ends in zip(batch.column("terms"), batch.column("ends"), strict=True):
+                terms, n = np.frombuffer(terms.as_buffer(), np.uint64), np.diff(np.frombuffer(ends.as_buffer(), np.int32), prepend=0)
+                slot = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+                known = vocabulary[slot] == terms
+                total[slot[known]] += n[known]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+
+    return run
+
+
+# ---------------------------------------------------------------- windows
+
+
 class Windows:
-    """All windows of some benchmark items: distinct term sequences, and which items hold each."""
+    """The distinct windows of some benchmark items: ``terms`` (numbers in the vocabulary, -1 behind short ones), and which items hold each."""
 
     def __init__(self, ids: list[str], texts: pa.Array, size: int):
         data, offsets = c.text_bytes(texts)
         starts, ends, first = c.find_words(data, offsets, c.ALNUM)
-        terms = c.hash_spans(data, starts, ends)
-        self.vocabulary, seq = np.unique(terms, return_inverse=True)
-        names = {x: i for i, x in enumerate(sorted(set(ids)))}
-        self.names = list(names)
-        held: dict[tuple[int, ...], set[int]] = {}
-        for k, name in enumerate(ids):
-            own = seq[first[k] : first[k + 1]].tolist()
-            for at in range(max(1, len(own) - size + 1) if own else 0):
-                held.setdefault(tuple(own[at : at + size]), set()).add(names[name])
-        self.lengths = np.array([len(x) for x in held], np.int64)
-        self.terms = np.full((len(held), size), -1, np.int32)
-        for i, x in enumerate(held):
-            self.terms[i, : len(x)] = x
-        self.items = [np.array(sorted(x), np.int64) for x in held.values()]
-
-
-def chunks(benchmark: DataFrame, size: int, chunk_bytes: int) -> list[Windows]:
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
+        self.vocabulary, seq = np.unique(c.hash_spans(data, starts, ends), return_inverse=True)
+        names, item = np.unique(np.array(ids, object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.names = pa.array(names.tolist(), pa.string())
+        words = np.diff(first)
+        many = np.where(words > 0, np.maximum(1, words - size + 1), 0)
+        row = np.repeat(np.arange(len(words)), many)
+        start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(words[row], size)
+        place = start[:, None] + np.arange(size)
+        terms = np.where(np.arange(size) < length[:, None], seq[np.minimum(place, max(0, len(seq) - 1))] if len(seq) else -1, -1).astype(np.int32)
+        self.terms, window = np.unique(terms, axis=0, return_inverse=True)
+        self.lengths = (self.terms >= 0).sum(axis=1)
+        pairs = np.unique(window.reshape(-1).astype(np.int64) * max(1, len(names)) + item[row])
+        self.items, window = pairs % max(1, len(names)), pairs // max(1, len(names))
+        self.held = np.searchsorted(window, np.arange(len(self.terms) + 1))
+
+    def rank(self, counts: dict[int, int]) -> None:
+        """Each window's places, those of the rarest terms in the whole index first."""
+        n = np.array([counts.get(k, 0) for k in range(len(self.vocabulary))] or [0], np.int64)
+        self.order = np.argsort(np.where(self.terms >= 0, n[self.terms], np.iinfo(np.int64).max), axis=1, kind="stable")
+
+
+def chunks(benchmark: DataFrame, size: int, chunk_bytes: int) -> Iterator[Windows]:
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-total // chunk_bytes) or 1
-    out = []
+    n = -(-total // chunk_bytes)
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).toArrow()
-        if own.num_rows:
-            out.append(Windows(own.column("id").to_pylist(), own.column("text").combine_chunks(), size))
-    return out
+        if own.num_rows and len((w := Windows(own.column("id").to_pylist(), own.column("text").combine_chunks(), size)).terms):
+            yield w
+
 
+# ---------------------------------------------------------------- search
 
-class BlockIndex:
-    """Postings of one block: ``at`` holds the term at each position, ``positions[ptr[t]:ptr[t + 1]]`` the places of term t."""
 
-    def __init__(self, hashes: np.ndarray, vocabulary: np.ndarray):
-        slot = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        self.at = np.where(vocabulary[slot] == hashes, slot, -1).astype(np.int32)
-        held = np.flatnonzero(self.at >= 0)
-        self.positions = held[np.argsort(self.at[held], kind="stable")]
-        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(self.at[held], minlength=len(vocabulary)))])
+class Block:
+    """One stored block against a vocabulary: ``at`` holds the vocabulary's term at each place (else -1), ``positions[ptr[t]:ptr[t] + n[t]]`` the places of term t."""
 
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, words: int, vocabulary: np.ndarray):
+        slot = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        known = vocabulary[slot] == terms
+        n = np.diff(ends, prepend=0)
+        self.at = np.full(words, -1, np.int32)
+        self.at[positions] = np.repeat(np.where(known, slot, -1), n)
+        self.positions = positions
+        self.ptr, self.n = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        self.ptr[slot[known]], self.n[slot[known]] = (ends - n)[known], n[known]
 
-def matches(index: BlockIndex, w: Windows, doc_of: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def matches(block: Block, w: Windows, doc_of: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, start, exact) of all places where a window's terms stand consecutively or, with a slop, each within so many places of its own."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n = len(index.at)
-    df = np.diff(index.ptr)
-    freq = np.where(w.terms >= 0, df[w.terms], np.iinfo(np.int64).max)
-    order = np.argsort(freq, axis=1, kind="stable")
-    live = np.flatnonzero(freq.min(axis=1) > 0) if slop else np.flatnonzero((np.where(w.terms >= 0, freq, 1) > 0).all(axis=1))
-    counts = freq[live, order[live, 0]]
+    n = len(block.at)
+    live = np.flatnonzero(((w.terms < 0) | (block.n[w.terms] > 0)).all(axis=1))
+    counts = block.n[w.terms[live, w.order[live, 0]]]
     i = 0
     while i < len(live):
         j = max(i + 1, int(np.searchsorted(np.cumsum(counts[i:]), CANDIDATES, "right")) + i)
         own, many = live[i:j], counts[i:j]
         win = np.repeat(own, many)
-        rarest = order[own, 0]
+        rarest = w.order[own, 0]
         within = np.arange(len(win)) - np.repeat(np.cumsum(many) - many, many)
-        start = index.positions[np.repeat(index.ptr[w.terms[own, rarest]], many) + within] - np.repeat(rarest, many)
+        start = block.positions[np.repeat(block.ptr[w.terms[own, rarest]], many) + within].astype(np.int64) - np.repeat(rarest, many)
+        if slop:  # the rarest term may be off its place, too
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            win = np.repeat(win, 2 * slop + 1)
         fits = (start >= 0) & (start + w.lengths[win] <= n)
         win, start = win[fits], start[fits]
         fits = doc_of[start] == doc_of[start + w.lengths[win] - 1]
         win, start = win[fits], start[fits]
         exact = np.ones(len(win), bool)
-        for k in range(1, w.terms.shape[1]):
-            offset = order[win, k]
+        for k in range(0 if slop else 1, w.terms.shape[1]):
+            offset = w.order[win, k]
             want = w.terms[win, offset]
             place = np.minimum(start + offset, n - 1)
-            same = (want < 0) | (index.at[place] == want)
+            near = (want < 0) | (block.at[place] == want)
             if slop:
-                near = same.copy()
+                exact &= near
                 for delta in (d for x in range(1, slop + 1) for d in (-x, x)):
                     other = np.clip(place + delta, 0, n - 1)
-                    near |= (index.at[other] == want) & (doc_of[other] == doc_of[start])
-                exact &= same
-                win, start, exact = win[near], start[near], exact[near]
-            else:
-                win, start, exact = win[same], start[same], exact[same]
+                    near |= (block.at[other] == want) & (doc_of[other] == doc_of[start])
+            win, start, exact = win[near], start[near], exact[near]
         found.append((win, start, exact))
         i = j
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
 
 
-def searcher(windows: Windows | None, slop: int):
+def _named(w: Windows, doc: np.ndarray, win: np.ndarray, n: int) -> pa.Array:
+    """The sorted names of the items with the windows found in each of n documents."""
+    pairs = np.unique(doc * len(w.terms) + win)
+    doc, win = pairs // len(w.terms), pairs % len(w.terms)
+    many = w.held[win + 1] - w.held[win]
+    at = np.repeat(w.held[win], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    both = np.unique(np.repeat(doc, many) * len(w.names) + w.items[at])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(both // len(w.names), np.arange(n + 1)).astype(np.int32)), w.names.take(pa.array(both % len(w.names))))
+
+
+def searcher(w: Windows | None, slop: int):
+    span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
+
     def run(batches):
-        for batch in c.pieces(batches):
-            data, offsets = c.text_bytes(batch.column("text"))
-            starts, ends, first = c.find_words(data, offsets, c.ALNUM)
-            spans: list = [[] for _ in range(batch.num_rows)]
-            items: list = [[] for _ in range(batch.num_rows)]
-            near_items: list = [[] for _ in range(batch.num_rows)]
-            if windows and len(windows.vocabulary) and len(starts):
-                doc_of = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                index = BlockIndex(c.hash_spans(data, starts, ends), windows.vocabulary)
-                win, start, exact = matches(index, windows, doc_of, slop)
-                for hit, out in ((exact, items), (~exact, near_items)):
-                    docs = doc_of[start[hit]]
-                    pairs = np.unique(np.stack([docs, win[hit]]), axis=1)
-                    for d, k in pairs.T:
-                        out[d].append(windows.items[k])
-                cover = np.zeros(len(starts) + 1, np.int32)
-                np.add.at(cover, start[exact], 1)
-                np.add.at(cover, start[exact] + windows.lengths[win[exact]], -1)
-                covered = np.cumsum(cover[:-1]) > 0
-                edge = covered[1:] != covered[:-1]
-                new = doc_of[1:] != doc_of[:-1]
-                begin = np.flatnonzero(covered & np.concatenate([[True], edge | new]))
-                end = np.flatnonzero(covered & np.concatenate([edge | new, [True]])) + 1
-                for s, e in zip(begin.tolist(), end.tolist(), strict=True):
-                    spans[doc_of[s]].append({"start": s - int(first[doc_of[s]]), "length": e - s})
-                named = lambda x: sorted({windows.names[i] for i in np.concatenate(x)}) if x else []
-                items, near_items = [named(x) for x in items], [named(x) for x in near_items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), c.long_column(batch, "doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(near_items, pa.list_(pa.string()))],
-                ["uid", "doc_id", "n_words", "spans", "items", "near_items"],
-            )
+        for batch in batches:
+            for row in range(batch.num_rows):
+                uids, doc_ids, first = (batch.column(k)[row].values for k in ("uids", "doc_ids", "first"))
+                first = first.to_numpy()
+                n, words = len(uids), int(first[-1])
+                if not w or not words:
+                    empty = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.string()))
+                    spans, items, near = pa.ListArray.from_arrays(empty.offsets, pa.array([], span)), empty, empty
+                else:
+                    terms, ends, positions = (np.frombuffer(batch.column(k)[row].as_buffer(), kind) for k, kind in (("terms", np.uint64), ("ends", np.int32), ("positions", np.int32)))
+                    doc_of = np.repeat(np.arange(n), np.diff(first))
+                    win, start, exact = matches(Block(terms, ends, positions, words, w.vocabulary), w, doc_of, slop)
+                    items, near = (_named(w, doc_of[start[x]], win[x], n) for x in (exact, ~exact))
+                    cover = np.zeros(words + 1, np.int32)
+                    np.add.at(cover, start[exact], 1)
+                    np.add.at(cover, start[exact] + w.lengths[win[exact]], -1)
+                    covered = np.cumsum(cover[:-1]) > 0
+                    edge = (covered[1:] != covered[:-1]) | (doc_of[1:] != doc_of[:-1])
+                    begin = np.flatnonzero(covered & np.concatenate([[True], edge]))
+                    end = np.flatnonzero(covered & np.concatenate([edge, [True]])) + 1
+                    d = doc_of[begin]
+                    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin - first[d]), pa.array(end - begin)], ["start", "length"]))
+                yield pa.RecordBatch.from_arrays([uids, doc_ids, pa.array(np.diff(first)), spans, items, near], ["uid", "doc_id", "n_words", "spans", "items", "near_items"])
 
     return run
 
 
-def search(documents: DataFrame, benchmark: DataFrame, size: int = 8, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document row: its words, the merged spans (in words) of exact window occurrences, the items with such
-    windows, and with ``slop`` > 0 the items whose window words all lie within so many places of their own (``near_items``)."""
-    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = [docs.mapInArrow(searcher(w, slop), "uid long, " + RESULT) for w in chunks(benchmark, size, chunk_bytes) or [None]]
+def looked_up(postings: DataFrame, benchmark: DataFrame, scratch: c.Scratch, size: int = 8, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per indexed row, as ``search`` returns them, with its uid."""
+    schema, parts = "uid long, " + RESULT, []
+    for w in chunks(benchmark, size, chunk_bytes):
+        counts = postings.select("terms", "ends").mapInArrow(counted(w.vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row per term of the chunk at most
+        w.rank({r["term"]: r["n"] for r in counts})
+        parts.append(scratch.put(postings.mapInArrow(searcher(w, slop), schema), "found"))
+    if not parts:
+        return postings.mapInArrow(searcher(None, slop), schema)
+    near = F.array_except("near_items", "items")
     if len(parts) == 1:
-        return parts[0].drop("uid")
-    # Several chunks: their spans meet again by row; rows without hits in any chunk carry no more than their word count.
+        return parts[0].withColumn("near_items", near)
     union = parts[0]
     for x in parts[1:]:
         union = union.unionByName(x)
     joined = union.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(x)).alias(x) for x in ("spans", "items", "near_items")))
-    return joined.select("doc_id", "n_words", merged("spans").alias("spans"), *(F.array_sort(F.array_distinct(x)).alias(x) for x in ("items", "near_items")))
+    return joined.select("uid", "doc_id", "n_words", merged("spans").alias("spans"), *(F.array_sort(F.array_distinct(x)).alias(x) for x in ("items", "near_items"))).withColumn("near_items", near)
+
+
+def search(documents: DataFrame, benchmark: DataFrame, size: int = 8, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per document row: its words, the merged spans (in words) of exact window occurrences, the items with such
+    windows, and with ``slop`` > 0 the other items with a window whose words all lie within so many places of their own,
+    for some start inside the document (``near_items``)."""
+    scratch = c.Scratch(documents.sparkSession)
+    docs = c.identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
+    return looked_up(index(docs, scratch), benchmark, scratch, size, slop, chunk_bytes).drop("uid")
 
 
 def merged(spans: str):
@@ -188,40 +262,24 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= 2).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
     )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = 8, most: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of ``documents``, all columns, that hold windows of at most ``most`` items.
-
-    With one chunk, rows are judged where they are read, without a shuffle;
-    with several, a narrow table of hits is joined back by row.
-    """
-    parts = chunks(benchmark, size, chunk_bytes)
-    if not parts:
-        return documents
-    rows = documents.withColumn("__uid", F.monotonically_increasing_id())
-    if len(parts) == 1:
-        run = searcher(parts[0], 0)
-
-        def keep(batches):
-            for batch in c.pieces(batches):
-                found = next(run([pa.RecordBatch.from_arrays([batch.column("__uid"), pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["uid", "doc_id", "text"])]))
-                good = pa.array([len(x) <= most for x in found.column("items").to_pylist()])
-                yield batch.filter(good)
-
-        return rows.mapInArrow(keep, rows.schema).drop("__uid")
-    narrow = rows.select(F.col("__uid").alias("uid"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = None
-    for w in parts:
-        own = narrow.mapInArrow(searcher(w, 0), "uid long, " + RESULT).where(F.size("items") > 0).select("uid", F.explode("items").alias("item"))
-        hits = own if hits is None else hits.unionByName(own)
-    bad = hits.distinct().groupBy("uid").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return rows.join(bad, rows["__uid"] == bad["uid"], "left_anti").drop("__uid")
+    """The rows of ``documents``, all columns, that hold windows of at most ``most`` items."""
+    scratch, columns = c.Scratch(documents.sparkSession), documents.columns
+    (row,) = c.fresh(columns, "__row")
+    rows = c.identified(documents, scratch, row)
+    postings = index(rows.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
+    bad = scratch.put(looked_up(postings, benchmark, scratch, size, 0, chunk_bytes).where(F.size("items") > most).select("uid"), "bad")
+    scratch.drop("postings", "found")
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return rows.join(side, rows[row] == side["uid"], "left_anti").select(columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return digest(search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=SLOP))
 
 
 OP8_SQL = r"""
@@ -232,7 +290,16 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dg AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes)),
 hit AS (SELECT DISTINCT dg.r, dg.p, dg.n, bw.item FROM dg JOIN bw ON dg.n = bw.n AND dg.g = bw.g),
 words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM hit)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+often AS (SELECT x, count(*) AS n FROM word GROUP BY x),
+win AS (SELECT g, n, string_split(g, ' ') AS t FROM (SELECT DISTINCT g, n FROM bw)),
+term AS (SELECT g, n, unnest(t) AS x, unnest(range(0, n)) AS k FROM win),
+anchor AS (SELECT g, min(term.n) AS n, arg_min(x, often.n) AS x, arg_min(k, often.n) AS k FROM term JOIN often USING (x) GROUP BY g HAVING count(*) = min(term.n)),
+start AS (SELECT DISTINCT a.g, a.n, word.r, word.p - a.k + o AS s FROM anchor a JOIN word USING (x), (SELECT unnest([-1, 0, 1]) AS o)),
+inside AS (SELECT start.* FROM start JOIN d USING (r) WHERE s >= 1 AND s + n - 1 <= len(d.w)),
+near AS (SELECT i.r, i.g FROM inside i JOIN term ON term.g = i.g JOIN word ON word.r = i.r AND word.x = term.x AND word.p BETWEEN i.s + term.k - 1 AND i.s + term.k + 1 GROUP BY i.r, i.g, i.s, i.n HAVING count(DISTINCT term.k) = i.n),
+nears AS (SELECT r, count(*) AS n_near FROM (SELECT DISTINCT near.r, bw.item FROM near JOIN bw USING (g)) z WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.r = z.r AND hit.item = z.item) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN nears USING (r)
 """
