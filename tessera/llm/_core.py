@@ -8,6 +8,7 @@ whole batches, without a Python loop over words or characters.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -22,6 +23,9 @@ from pyspark.sql.types import StructType
 
 # ---------------------------------------------------------------- scratch
 
+#: Bytes of an Arrow batch sent to Python, about; one row may be larger.
+BATCH_BYTES = 8 << 20
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; only where unset, a local one."""
@@ -93,16 +97,22 @@ def _repeats(df: DataFrame) -> bool:
     return True
 
 
+def settle(spark: SparkSession) -> None:
+    """Settings of a session that are not the user's own: splits of files don't follow the cores at hand, and Arrow batches are bounded in bytes, not only in rows."""
+    wanted = {"spark.sql.files.minPartitionNum": max(1, spark.sparkContext.defaultParallelism), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    for key, value in wanted.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
 def identified(df: DataFrame, scratch: Scratch, uid: str = "uid") -> DataFrame:
     """``df`` with a column of row ids that stay the same in every scan and every retried task.
 
     Ids count rows by partition, so partitions must repeat. A scan of files
-    repeats them once the number of splits no longer follows the cores at hand,
-    which is fixed here; any other plan is written once and read again.
+    repeats them (its splits are settled); any other plan is written once and
+    read again.
     """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.files.minPartitionNum", None) is None:
-        conf.set("spark.sql.files.minPartitionNum", str(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+    settle(df.sparkSession)
     if not _repeats(df):
         df = scratch.put(df, "rows")
     return df.withColumn(uid, F.monotonically_increasing_id())
@@ -139,6 +149,8 @@ SEGMENT = 1 << 19
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWERED = _BYTES[LOWER]
+#: For a second hash, independent of the first.
+_SECOND = np.random.default_rng(20251103).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 
@@ -180,6 +192,14 @@ def pieces(batches, column: str = "text", most: int = 1 << 22):
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system, as its worker may wait long for the next task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,22 +217,22 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray, lowered: bool = False) -> np.ndarray:
+def prefix_hash(data: np.ndarray, lowered: bool = False, second: bool = False) -> np.ndarray:
     """H with H[0] = 0, so that (H[e] - H[s]) times the inverse power s depends on bytes s..e alone."""
     p, _ = powers(len(data) + 1)
     h = np.empty(len(data) + 1, np.uint64)
     h[0] = 0
-    np.cumsum((_LOWERED if lowered else _BYTES)[data] * p[: len(data)], out=h[1:])
+    np.cumsum((_SECOND if second else _LOWERED if lowered else _BYTES)[data] * p[: len(data)], out=h[1:])
     return h
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans sorted by start, in segments, so that long inputs need no long power tables."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bool = True, second: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans sorted by start, in segments, so that long inputs need no long power tables. ``second``: others, of the bytes as they are."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         base = int(starts[i])
         j = int(np.searchsorted(starts, base + SEGMENT, "left"))
-        h = prefix_hash(data[base : int(ends[i:j].max())], lowered)
+        h = prefix_hash(data[base : int(ends[i:j].max())], lowered, second)
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (h[e] - h[s]) * powers(SEGMENT)[1][s]
         i = j

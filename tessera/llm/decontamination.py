@@ -210,6 +210,7 @@ def searcher(w: Windows | None, slop: int):
                     d = doc_of[begin]
                     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin - first[d]), pa.array(end - begin)], ["start", "length"]))
                 yield pa.RecordBatch.from_arrays([uids, doc_ids, pa.array(np.diff(first)), spans, items, near], ["uid", "doc_id", "n_words", "spans", "items", "near_items"])
+        c.release()
 
     return run
 

@@ -103,7 +103,7 @@ def scan(documents: DataFrame, k: int = K) -> DataFrame:
     rows = positions(k)
     hashes = gram_hashes([r[-1] for r in rows], k)
     templates = spark.createDataFrame([(*r, int(h)) for r, h in zip(rows, hashes.view(np.int64), strict=True)], "template int, label string, base boolean, grams int, size int, tpos int, tgram string, thash long")
-    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = c.identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), c.Scratch(spark))
     found = docs.mapInArrow(scanner(np.unique(hashes), k), "uid long, doc_id long, n_words long, pos long, gram string, hash long")
     # The templates are a constant of this module: a few hundred rows.
     votes = found.join(F.broadcast(templates), (F.col("hash") == F.col("thash")) & (F.col("gram") == F.col("tgram")), "left").repartition("uid")

@@ -159,6 +159,7 @@ class Machine:
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> Machine | None:
     """Fit on at most ``sample`` labelled documents, and ``sample_bytes`` of their features, outside the held-out fold."""
+    c.settle(documents.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (c.fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), label)
     chosen = chosen.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -199,6 +200,7 @@ def fitted(table: pa.Table) -> pa.Table:
 
 def score(documents: DataFrame, machine: Machine | None, keep: list[str], name: str = "__score") -> DataFrame:
     """The columns ``keep`` of all rows, with a score (column ``name``, which must be none of theirs)."""
+    c.settle(documents.sparkSession)
     kept = documents.select(*keep, *([] if "text" in keep else ["text"]))
     schema = kept.select(*keep).withColumn(name, F.lit(0.5).cast("double")).schema
 

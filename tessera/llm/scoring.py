@@ -1,23 +1,34 @@
-"""Language-model scoring: token unigrams, and logistic mixing of hashed-context bit predictors.
+"""Language-model scoring: token unigrams, and logistic mixing of hashed-context bit predictors with a memory of the whole corpus.
 
 Unigram base. Token counts of the training rows are summed per worker and then
 by a shuffle on token hashes. Tokens of high count (at most HEAVY of them, a
 bound on what is broadcast) are looked up where the texts are read; all others
 meet their counts in a join on the token.
 
-Model. A byte is coded as the path to its leaf in a Huffman tree of the
-corpus, so that a text is a row of bits (about 4.5 a byte, against 8 for plain
-bits), each node of the tree being a binary decision; byte 255, which UTF-8
-never holds, ends a text. Four predictors count, for hashed contexts (the last
-byte, the last two, the last three, and the last letters of the current word),
-which bytes followed, and hence how often each node went right. Their
+Bit predictors. A byte is coded as the path to its leaf in a Huffman tree of
+the corpus, so that a text is a row of bits (about 4.5 a byte, against 8 for
+plain bits), each node of the tree being a binary decision; byte 255, which
+UTF-8 never holds, ends a text. Three predictors count, for hashed contexts
+(the last two bytes, the last three, and the last letters of the current
+word), which bytes followed, and hence how often each node went right. Their
 predictions in the logistic domain are combined by weights that the node
-selects (the gate). Weights are learnt online, by gradient steps over blocks
-of all training documents, in two halves: each half is predicted by what the
-other half counted; a last stage (adaptive probability map) refines the mixed
-prediction by what followed such predictions at that node. Scoring predicts by
-the counts of both halves. The final tables have a fixed size, whatever the corpus;
-counting covers every byte of every training text.
+selects (the gate). Training documents come in two halves, each predicted by
+what the other half counted: the first moves the weights by a Newton step of
+its summed losses, the second starts from these and moves them once more with
+the curvature of both; a last stage (adaptive probability map) refines mixed
+predictions by what followed such predictions at that node in either half.
+Sums don't depend on how rows are dealt. Scoring predicts by the counts of both
+halves. These tables have a fixed size, which is what is broadcast.
+
+Memory. What is learnt beyond that grows with the corpus and is never
+broadcast whole. Texts are cut into phrases where a hash of the last REACH bytes
+ends in zero bits (every 64 bytes or so), which the bytes before decide. The
+phrases of all training texts are counted beside the tokens and joined in the
+same way. A phrase costs what a mixture of its share of all phrases and of the
+bit predictors gives; how much the memory is trusted is adapted to each text,
+as a mixture over RATES. A training text's own phrases are taken out of the
+counts before it is scored, as they would be if it were scored before it is
+learnt; so a text is expected where others of the corpus hold it, too.
 
 Defined results: null texts count as empty, whose only token and symbol is the
 end; rows with a null id are scored, never learnt from and not held out;
@@ -42,11 +53,13 @@ FOLDS, HELD_OUT = 5, 1
 #: Tokens whose counts are broadcast, at most.
 HEAVY = 1 << 19
 #: Hashed contexts of each predictor.
-CONTEXTS = (1 << 8, 1 << 14, 1 << 15, 1 << 15)
+CONTEXTS = (1 << 14, 1 << 15, 1 << 15)
 STARTS = np.concatenate([[0], np.cumsum(CONTEXTS)]) * 256
 SEGMENT = 1 << 16
 END = 255
 STEP = 1 << 15
+#: Weight of every predictor before anything is learnt.
+FIRST = 0.45
 #: Symbols scored at a time.
 SCORED = 1 << 16
 #: Bytes of text that a worker holds as symbols and contexts at a time.
@@ -54,11 +67,44 @@ PIECE = 1 << 21
 #: Predictions in the logistic domain are held in steps of 1 / UNIT, up to 16 either way.
 UNIT = 256
 LEVELS = 256
+#: Bytes whose hash ends phrases, and its bits that must be zero.
+REACH, ZEROS = 16, 6
+#: Shares of the memory in a phrase's probability, which a text mixes.
+RATES = (1 / 256, 1 / 4, 15 / 16)
 
 
 # ---------------------------------------------------------------- unigrams
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of tokens are even; 0 is the end of texts, which is as unlikely as any other for a word."""
+    return c.hash_spans(data, starts, ends) & ~np.uint64(1)
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all phrases of all documents (at least one each, the last ending its text), their keys, which are odd, and their documents."""
+    cuts = [np.zeros(0, np.int64)]
+    for k in range(0, max(0, len(data) - REACH), c.SEGMENT):
+        h = c.prefix_hash(data[k : k + c.SEGMENT + REACH])
+        rolled = c.mix((h[REACH:] - h[:-REACH]) * c.powers(c.SEGMENT + REACH)[1][: len(h) - REACH])
+        cuts.append(np.flatnonzero(rolled[: c.SEGMENT] >> np.uint64(64 - ZEROS) == 0) + (k + REACH))
+    cut = np.concatenate(cuts)
+    cut = cut[cut < offsets[-1]]
+    doc = np.searchsorted(offsets, cut, "right") - 1
+    inside = cut - REACH >= offsets[doc]  # all hashed bytes in this document
+    cut, doc = cut[inside], doc[inside]
+    n = len(offsets) - 1
+    # Each document's first phrase starts with it; the others follow.
+    doc, starts = np.concatenate([np.arange(n), doc]), np.concatenate([offsets[:-1], cut])
+    order = np.lexsort((starts, doc))
+    doc, starts = doc[order], starts[order]
+    last = np.concatenate([doc[1:] != doc[:-1], [True]]) if n else np.zeros(0, bool)
+    ends = np.where(last, offsets[doc + 1], np.concatenate([starts[1:], [0]])) if n else starts
+    key = c.hash_spans(data, starts, ends, lowered=False)
+    key = c.mix(key + last.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    return starts, ends, key | np.uint64(1), doc
+
+
 def count_tokens(batches):
     held: list[tuple[np.ndarray, np.ndarray]] = []
     docs = size = 0
@@ -75,7 +121,7 @@ def count_tokens(batches):
     for batch in c.pieces(batches):
         data, offsets = c.text_bytes(batch.column("text"))
         starts, ends, _ = c.find_words(data, offsets, c.NONSPACE)
-        held.append(np.unique(c.hash_spans(data, starts, ends), return_counts=True))
+        held.append(np.unique(np.concatenate([word_keys(data, starts, ends), phrases(data, offsets)[2]]), return_counts=True))
         docs += batch.num_rows
         size += len(held[-1][0])
         if size > 1 << 22:
@@ -85,12 +131,11 @@ def count_tokens(batches):
                 yield emit(*held[0], 0)
                 held, size = [], 0
     tokens, n = out()
-    # The end of texts is counted under hash 0, which is as unlikely as any other for a word.
     yield emit(np.concatenate([tokens, np.zeros(1, np.uint64)]), np.concatenate([n, [docs]]), 0)
 
 
 def heavy_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of all tokens from some count up, at most ``most``; the count comes from a histogram of powers of two."""
+    """Keys (sorted) and counts of all tokens and phrases from some count up, at most ``most``; the count comes from a histogram of powers of two."""
     level = F.floor(F.log2("n")).cast("int")
     found = {int(x["level"]): x["tokens"] for x in counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()}
     total, least = 0, None
@@ -137,7 +182,7 @@ def contexts(sym: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     two = (p1 << np.uint32(8) | p2) * np.uint32(0x9E3779B1)
     three = (p1 | p2 << np.uint32(8) | p3 << np.uint32(16)) * np.uint32(0x85EBCA6B)
     three ^= three >> np.uint32(15)
-    rows = [p1, two >> np.uint32(18), (three * np.uint32(0xC2B2AE35)) >> np.uint32(17), ((word ^ word >> np.uint32(16)) * np.uint32(0x27D4EB2F)) >> np.uint32(17)]
+    rows = [two >> np.uint32(18), (three * np.uint32(0xC2B2AE35)) >> np.uint32(17), ((word ^ word >> np.uint32(16)) * np.uint32(0x27D4EB2F)) >> np.uint32(17)]
     return [(r.astype(np.int32) << 8) + np.int32(s) for r, s in zip(rows, STARTS, strict=False)]
 
 
@@ -227,39 +272,53 @@ class Tree:
             yield at, self.path[sym[at], t], self.bit[sym[at], t]
 
 
-def learner(tree: Tree, table, rate: float = 0.02):
-    """Over documents that the table has not counted: online weights and the refining counts of this worker."""
+#: Pairs of predictors, of which curvature is summed.
+PAIRS = [(i, j) for i in range(len(CONTEXTS)) for j in range(i, len(CONTEXTS))]
+#: Sums of each node: decisions, gradient, curvature, and the map's counts by level and way.
+SUMS = 1 + len(CONTEXTS) + len(PAIRS) + LEVELS // 8 * 2
+
+
+def learner(tree: Tree, table, w: np.ndarray):
+    """Sums over documents that the table has not counted, predicted with the weights w (node, predictor)."""
 
     def run(batches):
-        stretch = table.value
-        m = len(CONTEXTS)
-        w = np.full((256, m), 0.4, np.float32)
-        seen = np.zeros(256)
-        apm = np.zeros((256, LEVELS // 8, 2))
+        stretch, m = table.value, len(CONTEXTS)
+        total = np.zeros((256, SUMS))
+        slot = LEVELS // 8
         for batch in c.pieces(batches, most=PIECE):
             sym, offsets = symbols(batch.column("text"))
             rows = contexts(sym, offsets)
             for k in range(0, len(sym), STEP):
                 own = slice(k, k + STEP)
                 for at, node, bit in tree.steps(sym[own]):
-                    st = np.stack([stretch[r[own][at] + node] for r in rows]).astype(np.float32)
-                    dot = (st * w[node].T).sum(axis=0)
-                    err = bit - 1 / (1 + np.exp(-np.clip(dot, -16, 16)))
-                    n = np.bincount(node, minlength=256)
-                    step = rate * np.sqrt(n / (seen + n + 1)) / np.sqrt(np.maximum(n, 1))
+                    st = [stretch[r[own][at] + node].astype(np.float32) for r in rows]
+                    dot = sum(st[j] * w[node, j] for j in range(m))
+                    p = 1 / (1 + np.exp(-np.clip(dot, -16, 16)))
+                    err, bend = bit - p, p * (1 - p)
+                    total[:, 0] += np.bincount(node, minlength=256)
                     for j in range(m):
-                        w[:, j] += step * np.bincount(node, err * st[j], 256) / np.maximum(np.sqrt(n), 1) * 8
-                    seen += n
+                        total[:, 1 + j] += np.bincount(node, err * st[j], 256)
+                    for x, (i, j) in enumerate(PAIRS):
+                        total[:, 1 + m + x] += np.bincount(node, bend * st[i] * st[j], 256)
                     q = np.clip((dot * 8).astype(np.int32) + LEVELS // 2, 0, LEVELS - 1) >> 3
-                    apm += np.bincount((node * (LEVELS // 8) + q) * 2 + bit, minlength=apm.size).reshape(apm.shape)
-        blob = np.concatenate([(w * seen[:, None]).ravel(), seen, apm.ravel()]).astype(np.float64)
-        if seen.any():
-            part = int(len(blob) + seen.sum()) & 0x7FFFFFFF
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([zstandard.compress(blob.tobytes())], pa.binary())], ["segment", "part", "blob"])
+                    total[:, 1 + m + len(PAIRS) :] += np.bincount((node * slot + q) * 2 + bit, minlength=256 * slot * 2).reshape(256, -1)
+        if total.any():
+            part = int(total[:, 0].sum()) & 0x7FFFFFFF
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([zstandard.compress(total.tobytes())], pa.binary())], ["segment", "part", "blob"])
 
     return run
 
 
+def stepped(w: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+    """The weights after one Newton step, held near where they were where little was seen; rounded, so that the order of sums leaves no trace."""
+    m = len(CONTEXTS)
+    h = np.zeros((256, m, m))
+    for x, (i, j) in enumerate(PAIRS):
+        h[:, i, j] = h[:, j, i] = curvature[:, x]
+    h += np.eye(m) * 50
+    return np.round(np.clip(w + np.linalg.solve(h, gradient[:, :, None])[:, :, 0], -0.5, 2), 4)
+
+
 def counter(batches):
     counts = None
     for batch in c.pieces(batches, most=PIECE):
@@ -280,17 +339,12 @@ def add_learnt(table: pa.Table) -> pa.Table:
 class Model:
     """What scoring needs: the code tree, weighted predictions by context and node, and the cost in bits by node, mixed level and way."""
 
-    def __init__(self, tree: Tree, stretch: np.ndarray, learnt: np.ndarray | None):
+    def __init__(self, tree: Tree, stretch: np.ndarray, w: np.ndarray, sums: np.ndarray):
         m = len(CONTEXTS)
         self.tree = tree
-        w = np.full((256, m), 0.4)
-        apm = np.zeros((256, LEVELS // 8, 2))
         #: Decisions by node that taught the weights and the map.
-        self.seen = np.zeros(256)
-        if learnt is not None:
-            self.seen = learnt[256 * m : 256 * m + 256]
-            w = np.where(self.seen[:, None] > 0, learnt[: 256 * m].reshape(256, m) / np.maximum(self.seen, 1)[:, None], w)
-            apm = learnt[256 * m + 256 :].reshape(apm.shape)
+        self.seen = sums[:, 0]
+        apm = sums[:, 1 + m + len(PAIRS) :].reshape(256, LEVELS // 8, 2)
         self.weighted = np.empty(len(stretch), np.int16)
         for k in range(m):
             for i in range(STARTS[k], STARTS[k + 1], SEGMENT):
@@ -306,7 +360,7 @@ class Model:
         self.rank = (tree.length.max() - tree.length).astype(np.uint8)
 
     def bits(self, column: pa.Array) -> np.ndarray:
-        """Bits of each text, its end with it."""
+        """Running sums of the bits of all symbols of all texts, each text's end among them."""
         sym, offsets = symbols(column)
         rows = contexts(sym, offsets)
         cost = np.zeros(len(sym) + 1)
@@ -330,8 +384,8 @@ class Model:
                 dot <<= 1
                 dot += cost_of.take(s[:n])
                 bits[:n] += self.cost.take(dot)
-            cost[k : k + len(s)][order] = bits
-        return np.add.reduceat(cost, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
+            cost[k + 1 : k + 1 + len(s)][order] = bits
+        return np.cumsum(cost, out=cost)
 
 
 def train_model(train: DataFrame) -> Model:
@@ -355,79 +409,130 @@ def train_model(train: DataFrame) -> Model:
     blobs = [summed(parts(half.mapInArrow(counter, schema)), fan) for half in halves]
     for own in blobs:
         add(own)
-    tree = Tree(counts[: STARTS[1]].reshape(256, 256).sum(axis=0))
-    scratch, learnt = c.Scratch(spark), []
+    tree = Tree(counts[: STARTS[1]].reshape(-1, 256).sum(axis=0))
+    scratch = c.Scratch(spark)
+    w, sums = np.full((256, len(CONTEXTS)), FIRST), np.zeros((256, SUMS))
+    bends = slice(1 + len(CONTEXTS), 1 + len(CONTEXTS) + len(PAIRS))
     for half, other in zip(halves, reversed(blobs), strict=True):
         counts[:] = 0
         add(other)
         table = spark.sparkContext.broadcast(tree.stretched(counts))
-        learnt.append(scratch.put(parts(half.mapInArrow(learner(tree, table), schema)), "learnt"))
+        rows = scratch.put(parts(half.mapInArrow(learner(tree, table, w), schema)), "learnt")
         table.destroy()
+        own = rows.groupBy("part").applyInArrow(add_learnt, schema).withColumn("segment", F.lit(-1)).groupBy("segment").applyInArrow(add_learnt, schema).collect()
+        if own:
+            now = np.frombuffer(zstandard.decompress(bytes(own[0]["blob"])), np.float64).reshape(256, SUMS)
+            sums = sums + now
+            w = stepped(w, now[:, 1 : 1 + len(CONTEXTS)], sums[:, bends])
     add(blobs[1])  # to those of the first half
-    rows = learnt[0].unionByName(learnt[1])
-    own = rows.groupBy("part").applyInArrow(add_learnt, schema).withColumn("segment", F.lit(-1)).groupBy("segment").applyInArrow(add_learnt, schema).collect()
     scratch.close()
-    return Model(tree, tree.stretched(counts), np.frombuffer(zstandard.decompress(bytes(own[0]["blob"])), np.float64) if own else None)
+    return Model(tree, tree.stretched(counts), w, sums)
 
 
 # ---------------------------------------------------------------- both
 
 
+def remembered(count, bits, phrases: int) -> list[np.ndarray]:
+    """log2 of a phrase's probability at each of RATES, given its count elsewhere and its bits by the bit predictors."""
+    out = []
+    for rate in RATES:
+        other = math.log2(1 - rate) - bits
+        own = np.log2(np.maximum(count, 1) * (rate / max(1, phrases)))
+        out.append(np.where(count > 0, np.logaddexp2(own, other), other))
+    return out
+
+
+def recalled(count, bits, phrases: int) -> list:
+    """The same as Columns."""
+    out = []
+    for rate in RATES:
+        other = F.lit(math.log2(1 - rate)) - bits
+        own = F.log2(count * F.lit(rate / max(1, phrases)))
+        out.append(F.when(count > 0, F.greatest(own, other) + F.log2(F.lit(1.0) + F.pow(F.lit(2.0), -F.abs(own - other)))).otherwise(other))
+    return out
+
+
 def score(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """One row per document row: tokens, known tokens, N, the unigram and the model's log10 probability, and bits per byte."""
     spark, scratch = documents.sparkSession, c.Scratch(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     part = c.fold(F.col("doc_id"), FOLDS)
-    train = docs.where((part != HELD_OUT) & (part >= 0))
+    docs = c.identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch).withColumn("train", (part != HELD_OUT) & (part >= 0))
+    train = docs.where("train").select("doc_id", "text")
     counts = train.select("text").mapInArrow(count_tokens, "token long, n long, docs long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
     counts = scratch.put(counts, "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    word = F.col("token").bitwiseAND(F.lit(1)) == 0
+    total, distinct, all_phrases = counts.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum(F.when(word, F.col("n"))), F.count_if(word), F.sum(F.when(~word, F.col("n")))))).first()
     base = math.log10(total + 0.5 * (distinct + 1))
     hashes, many = heavy_tokens(counts, heavy)
     model = train_model(train)
     shared = spark.sparkContext.broadcast((hashes, many, model))
     ends = counts.where("token = 0").first()
     ends = ends["n"] if ends else 0
+    rates = [f"rate_{k}" for k in range(len(RATES))]
+
+    def common_counts(hashes, many, keys):
+        """The counts of the keys that are broadcast, else -1."""
+        if not len(hashes):
+            return np.full(len(keys), -1)
+        slot = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+        return np.where(hashes[slot] == keys, many[slot], -1)
+
+    def grouped(doc, key):
+        """Distinct pairs of document and key, where each pair went, and how often it occurs."""
+        order = np.lexsort((key, doc))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(key) else np.zeros(0, bool)
+        where = np.empty(len(key), np.int64)
+        where[order] = np.cumsum(new) - 1
+        first = order[new]
+        return doc[first], key[first], where, np.bincount(where, minlength=len(first))
 
     def run(batches):
         hashes, many, model = shared.value
         for batch in c.pieces(batches, most=PIECE):
             n = batch.num_rows
+            uid, learnt = batch.column("uid").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
             data, offsets = c.text_bytes(batch.column("text"))
             starts, stops, first = c.find_words(data, offsets, c.NONSPACE)
-            token = c.hash_spans(data, starts, stops)
-            doc = np.repeat(np.arange(n), np.diff(first))
-            if len(hashes):
-                slot = np.minimum(np.searchsorted(hashes, token), len(hashes) - 1)
-                common = hashes[slot] == token
-            else:
-                slot, common = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
-            gain = np.log10(many[slot[common]] + 0.5) - base if len(hashes) else np.zeros(0)
-            own = np.bincount(doc[common], gain, n) + math.log10(ends + 0.5) - base
-            known = np.bincount(doc[common], minlength=n) + (ends > 0)
-            uid = batch.column("uid").to_numpy()
-            order = np.lexsort((token[~common], doc[~common]))
-            h, d = token[~common][order], doc[~common][order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
-            tf = np.diff(np.concatenate([new, [len(h)]]))
-            rare = len(new)
-            bits = model.bits(batch.column("text"))
-            null = lambda values: pa.concat_arrays([values, pa.nulls(rare, values.type)])
+            doc, token, _, tf = grouped(np.repeat(np.arange(n), np.diff(first)), word_keys(data, starts, stops))
+            count = common_counts(hashes, many, token)
+            common = count >= 0
+            own = np.bincount(doc[common], tf[common] * (np.log10(count[common] + 0.5) - base), n).astype(np.float64) + math.log10(ends + 0.5) - base
+            known = np.bincount(doc[common], tf[common], n).astype(np.int64) + (ends > 0)
+            # Phrases; a text's end belongs to its last one. Those of one key in one text share their mean cost.
+            begin, end, key, holder = phrases(data, offsets)
+            running = model.bits(batch.column("text"))
+            final = np.concatenate([holder[1:] != holder[:-1], [True]]) if len(holder) else np.zeros(0, bool)
+            bits = running[end + holder + final] - running[begin + holder]
+            pdoc, pkey, where, ptf = grouped(holder, key)
+            pbits = np.bincount(where, bits, len(pkey)) / np.maximum(ptf, 1)
+            mine = np.where(learnt[pdoc], ptf, 0)
+            pcount = common_counts(hashes, many, pkey)
+            often = pcount >= 0
+            sums = [np.bincount(pdoc[often], ptf[often] * x, n).astype(np.float64) for x in remembered(np.maximum(pcount[often] - mine[often], 0), pbits[often], all_phrases)]
+            # A document's own row, then its rare tokens and phrases.
+            rare = [np.concatenate([x[~common], y[~often]]) for x, y in ((doc, pdoc), (token, pkey), (tf, ptf), (np.zeros(len(doc), np.int64), mine), (np.zeros(len(doc)), pbits))]
+            null = lambda values: pa.concat_arrays([values, pa.nulls(len(rare[0]), values.type)])
+            also = lambda k, kind: pa.array(np.concatenate([np.zeros(n), rare[k]]).astype(kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([uid, uid[d[new]]])), null(batch.column("doc_id")), null(pa.array(np.diff(first).astype(np.int64) + 1)), null(pa.array(known.astype(np.int64))), null(pa.array(own)), null(pa.array(-bits * math.log10(2))), null(pa.array(bits / np.maximum(np.diff(offsets), 1))),
-                    pa.array(np.concatenate([c.mix(uid.astype(np.uint64) + np.uint64(1)), h[new]]).view(np.int64)), pa.array(np.concatenate([np.zeros(n, np.int64), tf])),
+                    pa.array(np.concatenate([uid, uid[rare[0]]])), null(batch.column("doc_id")), null(pa.array(np.diff(first).astype(np.int64) + 1)), null(pa.array(known)), null(pa.array(own)), null(pa.array(np.diff(offsets))), *(null(pa.array(x)) for x in sums),
+                    pa.array(np.concatenate([c.mix(uid.astype(np.uint64) + np.uint64(1)), rare[1]]).view(np.int64)), also(2, np.int32), also(3, np.int32), also(4, np.float32),
                 ],
-                ["uid", "doc_id", "n_tokens", "known", "base", "score", "bits_per_byte", "token", "tf"],
+                ["uid", "doc_id", "n_tokens", "known", "base", "bytes", *rates, "token", "tf", "own", "bits"],
             )
 
-    rows = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, "uid long, doc_id long, n_tokens long, known long, base double, score double, bits_per_byte double, token long, tf long")
+    rows = docs.mapInArrow(run, "uid long, doc_id long, n_tokens long, known long, base double, bytes long, " + "".join(f"{x} double, " for x in rates) + "token long, tf int, own int, bits float")
     # A document's own row has tf 0 and a hash of its uid as token, so it passes the join without effect and without skew.
+    elsewhere = F.greatest(F.coalesce("c", F.lit(0)) - F.col("own"), F.lit(0))
     joined = rows.join(counts.withColumnRenamed("n", "c"), "token", "left").groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - base))).alias("base_score"), F.max("score").alias("score"), F.max("bits_per_byte").alias("bits_per_byte"),
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + F.sum(F.when(word & (F.col("c") > 0), F.col("tf")).otherwise(0))).alias("n_known"),
+        (F.max("base") + F.sum(F.when(word, F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - base)).otherwise(0.0))).alias("base_score"), F.max("bytes").alias("bytes"),
+        *((F.max(name) + F.sum(F.when(~word & (F.col("tf") > 0), F.col("tf") * x).otherwise(0.0))).alias(name) for name, x in zip(rates, recalled(elsewhere, F.col("bits"), all_phrases), strict=True)),
     )
-    return joined.select("doc_id", (c.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    best = F.greatest(*rates)
+    log2 = best + F.log2(sum((F.pow(F.lit(2.0), F.col(x) - best) for x in rates), F.lit(0.0)) / len(RATES))
+    scored = joined.withColumn("score", F.round(log2 * math.log10(2), 6))
+    return scored.select("doc_id", (c.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / math.log10(2) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

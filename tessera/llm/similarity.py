@@ -173,6 +173,7 @@ def verify(table: pa.Table) -> pa.Table:
         out_links.append(links[hit])
         out_root.append(root[hit])
     empty = [np.zeros(0, np.int64)]
+    c.release()
     return pa.table({"uid": np.concatenate(out_uid or empty), "links": np.concatenate(out_links or empty), "root": np.concatenate(out_root or empty)})
 
 

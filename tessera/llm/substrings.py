@@ -16,7 +16,10 @@ same way, and all but the first of each are repeats. Both sorts stream through
 their partitions with the state of one row, so no group of copies, however
 large, is held in memory, and no pair is formed.
 
-Equality is that of two 64-bit hashes, of the trigger and of the whole string.
+Both orders are orders of hashes, not of bytes: only equality matters here, so
+the suffix arrays of dictionary and parse are replaced by sorts of fixed-width
+keys, which Spark deals and spills. Equality is that of 128 bits: of two hashes
+of the trigger and of the phrase, or of two hashes of the string.
 
 Defined results: null and empty texts have no bytes, no spans and the hash of
 nothing; texts under LENGTH bytes keep all; rows that repeat an id count in the
@@ -39,6 +42,9 @@ LENGTH = 100
 WINDOW = 32
 #: Positions that are hashed at a time.
 BLOCK = 1 << 18
+#: Bytes of sorted rows in a partition, about, and partitions at most.
+PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 100_000
 _PLACE = np.uint64(24)
 
 
@@ -186,20 +192,21 @@ def suffixes(length: int):
             doc, start = doc[order], start[order]
             for k in range(0, len(start), 1 << 18):
                 own, d = start[k : k + (1 << 18)], doc[k : k + (1 << 18)]
-                h = c.hash_spans(data, own, own + length, lowered=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("place").take(pa.array(d)), batch.column("uid").take(pa.array(d)), pa.array(own - offsets[d])], ["string", "place", "uid", "first"])
+                h, again = (c.hash_spans(data, own, own + length, lowered=False, second=x) for x in (False, True))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(again.view(np.int64)), batch.column("place").take(pa.array(d)), batch.column("uid").take(pa.array(d)), pa.array(own - offsets[d])], ["string", "second", "place", "uid", "first"])
+        c.release()
 
     return run
 
 
 def repeats(batches):
-    """Strings sorted by (string, place, uid, first): all but the first of each."""
+    """Strings sorted by (string, second, place, uid, first): all but the first of each."""
     last = None
     for batch in batches:
         if batch.num_rows:
-            h = batch.column("string").to_numpy()
-            again = np.concatenate([[last is not None and h[0] == last], h[1:] == h[:-1]])
-            last = h[-1]
+            h, more = batch.column("string").to_numpy(), batch.column("second").to_numpy()
+            again = np.concatenate([[last == (h[0], more[0])], (h[1:] == h[:-1]) & (more[1:] == more[:-1])])
+            last = h[-1], more[-1]
             keep = pa.array(again)
             yield pa.RecordBatch.from_arrays([batch.column("uid").filter(keep), batch.column("first").filter(keep), pa.array(np.zeros(int(again.sum()), np.int32))], ["uid", "first", "more"])
 
@@ -244,16 +251,18 @@ def finish(length: int, text: bool):
 def deduplicate(documents: DataFrame, length: int = LENGTH, window: int = WINDOW, text: bool = False) -> DataFrame:
     """One row per document row; with ``text`` also the removed spans and what is left (bytes of cut characters dropped)."""
     spark, scratch = documents.sparkSession, c.Scratch(documents.sparkSession)
-    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = c.identified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch)
     place = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place")
-    n = c.partitions(spark)
+    # Sorted rows are about three times the size of the files; partitions follow it.
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(MOST_PARTITIONS, max(c.partitions(spark), -(-3 * size // PARTITION_BYTES)))
     phrases = docs.select("uid", place, "text").where(F.octet_length("text") >= length).mapInArrow(parse(length, window), "trigger long, phrase long, place long, uid long, first long, more int")
     judged = phrases.repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "place", "uid", "first").mapInArrow(judge, "kind byte, uid long, place long, first long, more int")
     judged = scratch.put(judged, "phrases")
     edges = judged.where("kind = 1").groupBy("uid").agg(F.collect_list(F.struct("first", "more")).alias("edges"))
     # The same rows and columns as in the last join, so that the texts are shuffled once for both.
-    strings = docs.join(edges, "uid").select("uid", place, "text", "edges").mapInArrow(suffixes(length), "string long, place long, uid long, first long")
-    shared = strings.repartition(n, "string").sortWithinPartitions("string", "place", "uid", "first").mapInArrow(repeats, "uid long, first long, more int")
+    strings = docs.join(edges, "uid").select("uid", place, "text", "edges").mapInArrow(suffixes(length), "string long, second long, place long, uid long, first long")
+    shared = strings.repartition(n, "string").sortWithinPartitions("string", "second", "place", "uid", "first").mapInArrow(repeats, "uid long, first long, more int")
     runs = judged.where("kind = 0").select("uid", "first", "more").unionByName(shared).groupBy("uid").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
     more = ", spans array<struct<start:long,end:long>>, kept string" if text else ""
     return docs.join(runs, "uid", "left").mapInArrow(finish(length, text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)

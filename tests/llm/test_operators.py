@@ -182,6 +182,55 @@ def test_substrings_match_brute_force(docs, monkeypatch, block, spark):
     assert got == want
 
 
+def test_one_of_each_of_a_plan_that_is_no_scan(spark, docs):
+    plan = docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    kept = {frozenset((r.doc_id, r.text) for r in similarity.one_of_each(x).collect()) for x in (plan, plan.repartition(5), plan.coalesce(1))}
+    assert len(kept) == 1
+
+
+CLASH = ["__row", "__key", "__name", "__uid", "__h", "__score", "shard", "n_bytes", "row", "uid", "h"]
+
+
+def test_clashing_columns_keep_their_values(spark, docs):
+    wide = docs.select("doc_id", "text", "lang", "source", *(F.concat(F.lit(f"{x}:"), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(x) for x in CLASH))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for out in (similarity.one_of_each(wide), mixing.mix(wide), decontamination.clean(wide, items(spark, docs)), sharding.assign(wide).select("row.*"), quality.score(wide, quality.train(wide, labels), wide.columns, c.fresh(wide.columns, "__score")[0]).select(wide.columns)):
+        found = out.collect()
+        assert found and out.columns == wide.columns
+        assert all(r[x] == f"{x}:{-1 if r.doc_id is None else r.doc_id}" for r in found for x in CLASH)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = text(rng, 130_000)  # longer than the pieces and segments in which texts are handled
+    assert len(long.encode()) > c.SEGMENT
+    rows = [(1, long), (2, long + " the end"), (3, "short text of few words only"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in similarity.join(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    bench = spark.createDataFrame([(1, " ".join(alnum(long)[-9:]))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontamination.search(df, bench).collect()}
+    assert found[1].spans[-1].start == len(alnum(long)) - 9 and found[1].n_words == len(alnum(long)) and not found[3]["items"]
+    cut = {r.doc_id: r.n_removed for r in substrings.deduplicate(df).collect()}
+    assert cut[2] >= len(long.encode()) and cut[3] == cut[4] == 0
+    assert all(r.score < 0 for r in scoring.score(df).collect())
+
+
+def test_factorisation_machine_equals_all_pairs():
+    import numpy as np
+
+    texts = c.pa.array(["one two three two", "", "UPPER words, and more: words!"])
+    d, s, value, stats = quality.featurise(texts)
+    machine = quality.Machine(np.stack([np.quantile(stats[:, j], np.arange(1, quality.BINS) / quality.BINS) for j in range(stats.shape[1])]))
+    machine.w = np.random.default_rng(1).normal(size=quality.SLOTS).astype(np.float32)
+    docs, slots, values = machine.design(d, s, value, stats)
+    z, _ = machine.raw(docs, slots, values, 3)
+    for k in range(3):
+        own = [(int(i), float(x)) for i, x, q in zip(slots, values, docs) if q == k]
+        want = machine.b + sum(float(machine.w[i]) * x for i, x in own)
+        want += sum(float(machine.v[own[a][0]] @ machine.v[own[b][0]]) * own[a][1] * own[b][1] for a in range(len(own)) for b in range(a))
+        assert z[k] == pytest.approx(want, abs=1e-4)
+
+
 def test_substrings_of_repeated_rows(spark):
     t = "".join(map(str, range(80)))
     out = substrings.deduplicate(spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string"), text=True).collect()
@@ -264,6 +313,33 @@ def test_scores_match_unigrams_and_form_a_distribution(spark, docs, rows):
     assert abs(p.sum(axis=1) - 1).max() < 1e-5
 
 
+def test_scores_mix_memory_and_bits(spark, docs, rows):
+    """Each text alone, with plain counts and loops, gives what blocks, broadcasts and joins give."""
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    model = scoring.train_model(own.where((c.fold(F.col("doc_id"), scoring.FOLDS) != scoring.HELD_OUT)))
+    learnt = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
+    parts = []
+    for i, t, *_ in rows:
+        column = c.pa.array([t], c.pa.string())
+        begin, end, key, _ = scoring.phrases(*c.text_bytes(column))
+        running = model.bits(column)
+        bits = [running[e + (k + 1 == len(end))] - running[b] for k, (b, e) in enumerate(zip(begin, end))]
+        parts.append((i, key.tolist(), bits))
+    count = Counter(x for i, keys, _ in parts if learnt(i) for x in keys)
+    total = sum(count.values())
+    want = []
+    for i, keys, bits in parts:
+        mine = Counter(keys) if learnt(i) else Counter()
+        by_rate = [sum(math.log2(rate * (count[k] - mine[k]) / total + (1 - rate) * 2.0**-b) if b < 1000 else math.log2(1 - rate) - b for k, b in zip(keys, bits)) for rate in scoring.RATES]
+        top = max(by_rate)
+        want.append((top + math.log2(sum(2.0 ** (x - top) for x in by_rate) / len(by_rate))) * math.log10(2))
+    for heavy in (1 << 19, 0):
+        got = [r.score for r in scoring.score(docs, heavy).collect()]
+        assert sorted(got) == pytest.approx(sorted(want), rel=1e-4, abs=1e-3)
+    # Whatever holds the rows.
+    assert sorted(got) == pytest.approx(sorted(r.score for r in scoring.score(docs.repartition(7)).collect()), abs=1e-4)
+
+
 @pytest.mark.parametrize("ids", [range(1, 2), range(40)])
 def test_all_training_rows_teach_the_weights(spark, ids):
     rng = random.Random(4)
