@@ -13,12 +13,16 @@ UTF-8 never holds, ends a text. Three predictors count, for hashed contexts
 word), which bytes followed, and hence how often each node went right. Their
 predictions in the logistic domain are combined by weights that the node
 selects (the gate). Training documents come in two halves, each predicted by
-what the other half counted: the first moves the weights by a Newton step of
-its summed losses, the second starts from these and moves them once more with
-the curvature of both; a last stage (adaptive probability map) refines mixed
-predictions by what followed such predictions at that node in either half.
-Sums don't depend on how rows are dealt. Scoring predicts by the counts of both
-halves. These tables have a fixed size, which is what is broadcast.
+what the other half counted. What the predictors said and what came is counted
+for every decision, by node and GRID levels of each prediction; from these
+counts the weights follow by Newton steps, and a last stage (adaptive
+probability map) that refines mixed predictions by what followed such
+predictions at that node. Whole numbers are summed, so it does not matter how
+rows are dealt. Scoring predicts by the counts of both halves. These tables
+have a fixed size, which is what is broadcast.
+
+Positions are handled by symbol: all of one symbol take the same path, so that
+a step reads one node's column of each table, which stays in cache.
 
 Memory. What is learnt beyond that grows with the corpus and is never
 broadcast whole. Texts are cut into phrases where a hash of the last REACH bytes
@@ -43,6 +47,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +62,14 @@ CONTEXTS = (1 << 14, 1 << 15, 1 << 15)
 STARTS = np.concatenate([[0], np.cumsum(CONTEXTS)]) * 256
 SEGMENT = 1 << 16
 END = 255
-STEP = 1 << 15
-#: Weight of every predictor before anything is learnt.
-FIRST = 0.45
-#: Symbols scored at a time.
-SCORED = 1 << 16
-#: Bytes of text that a worker holds as symbols and contexts at a time.
-PIECE = 1 << 21
+#: Weight of every predictor before anything is learnt, what it counts for, and steps towards the learnt ones.
+FIRST, PRIOR, STEPS = 0.45, 50.0, 12
+#: Levels of each prediction by which decisions are counted, and how far they are apart.
+GRID, APART = 16, 0.8
+#: Bytes of text that a worker holds as symbols and contexts at a time: few enough to stay in cache, many enough for its steps to be long.
+PIECE = 1 << 20
+#: Positions of a symbol in a piece from which they are handled apart.
+OFTEN = 2048
 #: Predictions in the logistic domain are held in steps of 1 / UNIT, up to 16 either way.
 UNIT = 256
 LEVELS = 256
@@ -160,30 +166,39 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = c.text_bytes(column)
     n = len(offsets) - 1
     out = np.full(len(data) + n, END, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        out[a + k : b + k] = data[a:b]
     return out, offsets + np.arange(n + 1)
 
 
+#: Letters lower-cased; 0 for what stands in no word.
+_LETTER = bytes(int(c.LOWER[b]) if c.ALNUM[b] and b != END else 0 for b in range(256))
+_PLACE = np.random.default_rng(31).integers(0, 1 << 31, 256).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
 def contexts(sym: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Index of the row of each predictor's table, times 256."""
+    """Each predictor's context at each position. What lies before a document is END."""
     prev = []
-    for k in range(1, 6):
+    for k in range(1, 4):
         p = np.full(len(sym), END, np.uint8)
         p[k:] = sym[:-k]
-        for j in range(k):  # what lies before the document is END
+        for j in range(k - 1):  # right before the document stands the END of the one before
             at = offsets[:-1] + j
             p[at[at < offsets[1:]]] = END
         prev.append(p)
-    p1, p2, p3 = (p.astype(np.uint32) for p in prev[:3])
-    word, inside = np.zeros(len(sym), np.uint32), np.ones(len(sym), bool)
-    for k, p in enumerate(prev):
-        inside &= c.ALNUM[p] & (p != END)
-        word += np.where(inside, (c.LOWER[p].astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1 + 0x61C88646 * k & 0xFFFFFFFF | 1), 0).astype(np.uint32)
-    two = (p1 << np.uint32(8) | p2) * np.uint32(0x9E3779B1)
-    three = (p1 | p2 << np.uint32(8) | p3 << np.uint32(16)) * np.uint32(0x85EBCA6B)
+    p1, p2, p3 = (p.astype(np.uint32) for p in prev)
+    two = p1 << np.uint32(8) | p2
+    three = (two << np.uint32(8) | p3) * np.uint32(0x85EBCA6B)
     three ^= three >> np.uint32(15)
-    rows = [two >> np.uint32(18), (three * np.uint32(0xC2B2AE35)) >> np.uint32(17), ((word ^ word >> np.uint32(16)) * np.uint32(0x27D4EB2F)) >> np.uint32(17)]
-    return [(r.astype(np.int32) << 8) + np.int32(s) for r, s in zip(rows, STARTS, strict=False)]
+    # The letters of the current word: sums of letters weighted by their place, less the sum before the word.
+    place = np.arange(len(sym), dtype=np.int32)
+    letter = np.frombuffer(prev[0].tobytes().translate(_LETTER), np.uint8)
+    before = np.maximum.accumulate(np.where(letter, np.int32(0), place))
+    sums = np.cumsum(letter * _PLACE.take(np.minimum(place - before, 255)), dtype=np.uint32)
+    word = sums - sums[before]
+    word ^= word >> np.uint32(16)
+    rows = [(two * np.uint32(0x9E3779B1)) >> np.uint32(18), (three * np.uint32(0xC2B2AE35)) >> np.uint32(17), (word * np.uint32(0x27D4EB2F)) >> np.uint32(17)]
+    return [r.astype(np.int32) for r in rows]
 
 
 def sparse(counts: np.ndarray):
@@ -224,8 +239,7 @@ def summed(blobs: DataFrame, fan: int) -> list:
 
 def count_contexts(tables: np.ndarray, sym: np.ndarray, rows: list[np.ndarray]) -> None:
     for k, r in enumerate(rows):
-        own = tables[STARTS[k] : STARTS[k + 1]]
-        np.add.at(own, r + sym - np.int32(STARTS[k]), tables.dtype.type(1))
+        np.add.at(tables[STARTS[k] : STARTS[k + 1]], (r << 8) + sym, tables.dtype.type(1))
 
 
 class Tree:
@@ -253,70 +267,98 @@ class Tree:
                 self.path[s, t], self.bit[s, t] = node, way
                 self.below[s, node], self.right[s, node] = 1, way
 
-    def stretched(self, counts: np.ndarray) -> np.ndarray:
-        """ln of the odds of going right, by context and node, in float16."""
-        out = np.empty(len(counts), np.float16)
-        for k in range(0, len(counts), SEGMENT):
-            x = counts[k : k + SEGMENT].reshape(-1, 256).astype(np.float32)
-            right = x @ self.right
-            out[k : k + SEGMENT] = np.log((right + 0.4) / (x @ self.below - right + 0.4)).ravel()
+    def stretched(self, counts: np.ndarray, kind, of) -> list[np.ndarray]:
+        """For each predictor, by node and context: ``of`` (predictor, ln of the odds of going right by context and node)."""
+        out = [np.empty((256, n), kind) for n in CONTEXTS]
+        for j, n in enumerate(CONTEXTS):
+            for k in range(0, n, 256):
+                x = counts[STARTS[j] + 256 * k : STARTS[j] + 256 * (k + 256)].reshape(-1, 256).astype(np.float32)
+                right = x @ self.right
+                out[j][:, k : k + 256] = of(j, np.log((right + 0.4) / (x @ self.below - right + 0.4))).T
         return out
 
-    def steps(self, sym: np.ndarray):
-        """(positions, nodes, bits) for each step, while any symbol's code goes on."""
-        at = np.arange(len(sym))
-        for t in range(self.path.shape[1]):
-            at = at[self.length[sym[at]] > t]
-            if not len(at):
-                return
-            yield at, self.path[sym[at], t], self.bit[sym[at], t]
-
-
-#: Pairs of predictors, of which curvature is summed.
-PAIRS = [(i, j) for i in range(len(CONTEXTS)) for j in range(i, len(CONTEXTS))]
-#: Sums of each node: decisions, gradient, curvature, and the map's counts by level and way.
-SUMS = 1 + len(CONTEXTS) + len(PAIRS) + LEVELS // 8 * 2
-
-
-def learner(tree: Tree, table, w: np.ndarray):
-    """Sums over documents that the table has not counted, predicted with the weights w (node, predictor)."""
+    def decisions(self, sym: np.ndarray, rows: list[np.ndarray]):
+        """(positions, contexts, steps) of each frequent symbol, whose steps are (all, node, way), and of the others together, whose steps are (which, nodes, ways)."""
+        order = np.argsort(sym, kind="stable")
+        # One gather for all contexts.
+        packed = rows[0].astype(np.int64)
+        for r in rows[1:]:
+            packed <<= 16
+            packed |= r
+        packed = packed[order]
+        rows = [(packed >> 16 * k) & 0xFFFF for k in range(len(rows) - 1, -1, -1)]
+        n = np.bincount(sym, minlength=256)
+        ends = np.cumsum(n)
+        for s in np.flatnonzero(n >= OFTEN).tolist():
+            own = slice(int(ends[s] - n[s]), int(ends[s]))
+            yield order[own], [r[own] for r in rows], [(slice(None), int(self.path[s, t]), int(self.bit[s, t])) for t in range(self.length[s])]
+        rest = np.flatnonzero((n < OFTEN)[sym[order]])
+        if len(rest):
+            at = order[rest]
+            s = sym[at]
+            which = [np.flatnonzero(self.length[s] > t) for t in range(self.length[s].max())]
+            yield at, [r[rest] for r in rows], [(x, self.path[s[x], t], self.bit[s[x], t]) for t, x in enumerate(which)]
+
+
+def looked(table: np.ndarray, node, context: np.ndarray) -> np.ndarray:
+    """Of a table by node and context: one node's values, or those of a node each."""
+    return table[node].take(context) if isinstance(node, int) else table.ravel().take(node * table.shape[1] + context)
+
+
+def levels(j: int, odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(odds / APART) + GRID // 2, 0, GRID - 1)
+
+
+def learner(tree: Tree, tables):
+    """Counts of decisions by node, way and levels; ``tables`` holds what each half counted, by which the other one is predicted."""
 
     def run(batches):
-        stretch, m = table.value, len(CONTEXTS)
-        total = np.zeros((256, SUMS))
-        slot = LEVELS // 8
-        for batch in c.pieces(batches, most=PIECE):
+        total = None
+        halves = (batch.filter(pc.equal(batch.column("half"), k)) for batch in batches for k in (0, 1))
+        for batch in c.pieces(halves, most=PIECE):
+            total = np.zeros((256, 2, GRID ** len(CONTEXTS)), np.int64) if total is None else total
+            table = tables.value[1 - batch.column("half")[0].as_py()]
             sym, offsets = symbols(batch.column("text"))
-            rows = contexts(sym, offsets)
-            for k in range(0, len(sym), STEP):
-                own = slice(k, k + STEP)
-                for at, node, bit in tree.steps(sym[own]):
-                    st = [stretch[r[own][at] + node].astype(np.float32) for r in rows]
-                    dot = sum(st[j] * w[node, j] for j in range(m))
-                    p = 1 / (1 + np.exp(-np.clip(dot, -16, 16)))
-                    err, bend = bit - p, p * (1 - p)
-                    total[:, 0] += np.bincount(node, minlength=256)
-                    for j in range(m):
-                        total[:, 1 + j] += np.bincount(node, err * st[j], 256)
-                    for x, (i, j) in enumerate(PAIRS):
-                        total[:, 1 + m + x] += np.bincount(node, bend * st[i] * st[j], 256)
-                    q = np.clip((dot * 8).astype(np.int32) + LEVELS // 2, 0, LEVELS - 1) >> 3
-                    total[:, 1 + m + len(PAIRS) :] += np.bincount((node * slot + q) * 2 + bit, minlength=256 * slot * 2).reshape(256, -1)
-        if total.any():
-            part = int(total[:, 0].sum()) & 0x7FFFFFFF
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([zstandard.compress(total.tobytes())], pa.binary())], ["segment", "part", "blob"])
+            flat = total.reshape(-1)
+            for _, rows, steps in tree.decisions(sym, contexts(sym, offsets)):
+                for which, node, way in steps:
+                    cell = np.zeros(len(rows[0][which]), np.int64)
+                    for x, r in zip(table, rows, strict=True):
+                        cell *= GRID
+                        cell += looked(x, node, r[which])
+                    if isinstance(node, int):
+                        total[node, way] += np.bincount(cell, minlength=total.shape[2])
+                    else:
+                        np.add.at(flat, (2 * node.astype(np.int64) + way) * total.shape[2] + cell, 1)
+        if total is not None:
+            yield blobs(total.ravel())
 
     return run
 
 
-def stepped(w: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
-    """The weights after one Newton step, held near where they were where little was seen; rounded, so that the order of sums leaves no trace."""
+def blobs(counts: np.ndarray) -> pa.RecordBatch:
+    rows = sparse(counts)
+    part = int(counts[: 1 << 16].sum()) & 0x7FFFFFFF
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["segment", "part", "blob"])
+
+
+def learnt(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of decisions counted by (node, way, levels): the weights (node, predictor), and counts by (node, level of the mix, way)."""
     m = len(CONTEXTS)
-    h = np.zeros((256, m, m))
-    for x, (i, j) in enumerate(PAIRS):
-        h[:, i, j] = h[:, j, i] = curvature[:, x]
-    h += np.eye(m) * 50
-    return np.round(np.clip(w + np.linalg.solve(h, gradient[:, :, None])[:, :, 0], -0.5, 2), 4)
+    grid = np.stack(np.meshgrid(*[(np.arange(GRID) - GRID / 2 + 0.5) * APART] * m, indexing="ij")).reshape(m, -1)
+    w, apm = np.full((256, m), FIRST), np.zeros((256, LEVELS // 8, 2))
+    for node in np.flatnonzero(seen.any(axis=(1, 2))):
+        n, right = seen[node].sum(axis=0), seen[node, 1]
+        at = np.flatnonzero(n)
+        x, n, right = grid[:, at], n[at], right[at]
+        for _ in range(STEPS):
+            p = 1 / (1 + np.exp(-np.clip(w[node] @ x, -16, 16)))
+            gradient = x @ (right - n * p) - PRIOR * (w[node] - FIRST)
+            step = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + PRIOR * np.eye(m), gradient)
+            w[node] = np.clip(w[node] + np.clip(step, -0.3, 0.3), -0.5, 2)
+        q = np.clip((w[node] @ x * 8).astype(np.int32) + LEVELS // 2, 0, LEVELS - 1) >> 3
+        apm[node] = np.stack([np.bincount(q, n - right, LEVELS // 8), np.bincount(q, right, LEVELS // 8)], axis=1)
+    return w, apm
 
 
 def counter(batches):
@@ -326,107 +368,76 @@ def counter(batches):
         sym, offsets = symbols(batch.column("text"))
         count_contexts(counts, sym, contexts(sym, offsets))
     if counts is not None:
-        rows = sparse(counts)
-        part = int(counts[: 1 << 16].sum()) & 0x7FFFFFFF
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["segment", "part", "blob"])
-
-
-def add_learnt(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.float64) for x in table.column("blob").combine_chunks())
-    return pa.table({"segment": table.column("segment").slice(0, 1), "part": table.column("part").slice(0, 1), "blob": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
+        yield blobs(counts)
 
 
 class Model:
-    """What scoring needs: the code tree, weighted predictions by context and node, and the cost in bits by node, mixed level and way."""
+    """What scoring needs: the code tree, weighted predictions by predictor, node and context, and the cost in bits by node, way and mixed level."""
 
-    def __init__(self, tree: Tree, stretch: np.ndarray, w: np.ndarray, sums: np.ndarray):
-        m = len(CONTEXTS)
+    def __init__(self, tree: Tree, counts: np.ndarray, seen: np.ndarray):
+        w, apm = learnt(seen)
         self.tree = tree
         #: Decisions by node that taught the weights and the map.
-        self.seen = sums[:, 0]
-        apm = sums[:, 1 + m + len(PAIRS) :].reshape(256, LEVELS // 8, 2)
-        self.weighted = np.empty(len(stretch), np.int16)
-        for k in range(m):
-            for i in range(STARTS[k], STARTS[k + 1], SEGMENT):
-                own = stretch[i : min(i + SEGMENT, STARTS[k + 1])].reshape(-1, 256).astype(np.float32)
-                self.weighted[i : i + own.size] = np.clip(np.rint(own * w[:, k] * UNIT), -32767, 32767).ravel()
+        self.seen = seen.sum(axis=(1, 2))
+        most = 32_000 // len(CONTEXTS)
+        self.weighted = tree.stretched(counts, np.int16, lambda j, odds: np.clip(np.rint(odds * w[:, j].astype(np.float32) * UNIT), -most, most))
         centre = 1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS / 2 + 0.5) / 8))
         wide = np.repeat(apm, 8, axis=1)
         refined = (wide[:, :, 1] + 24 * centre) / (wide.sum(axis=2) + 24)
         p = np.clip((centre + refined) / 2, 1e-7, 1 - 1e-7)
-        self.cost = -np.log2(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()
-        # By step and symbol: the node, and where its costs of the symbol's way begin.
-        self.step = [(np.ascontiguousarray(node), ((node * LEVELS) << 1) + bit) for node, bit in zip(tree.path.T, tree.bit.T, strict=True)]
-        self.rank = (tree.length.max() - tree.length).astype(np.uint8)
+        self.cost = -np.log2(np.stack([1 - p, p], axis=1)).astype(np.float32)
 
     def bits(self, column: pa.Array) -> np.ndarray:
         """Running sums of the bits of all symbols of all texts, each text's end among them."""
         sym, offsets = symbols(column)
-        rows = contexts(sym, offsets)
         cost = np.zeros(len(sym) + 1)
-        for k in range(0, len(sym), SCORED):
-            # Longest codes first, so that the symbols whose codes go on are the first ones at every step.
-            s = sym[k : k + SCORED]
-            order = np.argsort(self.rank[s], kind="stable")
-            s, here = s[order], [r[k : k + SCORED][order] for r in rows]
-            active = len(s) - np.cumsum(np.bincount(self.tree.length[s], minlength=len(self.step) + 1))
-            bits = np.zeros(len(s))
-            for n, (node_of, cost_of) in zip(active.tolist(), self.step, strict=False):
-                if not n:
-                    break
-                node = node_of.take(s[:n])
-                dot = self.weighted.take(here[0][:n] + node).astype(np.int32)
-                for r in here[1:]:
-                    dot += self.weighted.take(r[:n] + node)
+        for at, rows, steps in self.tree.decisions(sym, contexts(sym, offsets)):
+            bits = np.zeros(len(at), np.float32)
+            for which, node, way in steps:
+                dot = looked(self.weighted[0], node, rows[0][which])
+                for x, r in zip(self.weighted[1:], rows[1:], strict=True):
+                    dot += looked(x, node, r[which])
                 dot >>= 5
+                np.clip(dot, -LEVELS // 2, LEVELS // 2 - 1, out=dot)
                 dot += LEVELS // 2
-                np.clip(dot, 0, LEVELS - 1, out=dot)
-                dot <<= 1
-                dot += cost_of.take(s[:n])
-                bits[:n] += self.cost.take(dot)
-            cost[k + 1 : k + 1 + len(s)][order] = bits
+                bits[which] += self.cost[node, way].take(dot.astype(np.int64)) if isinstance(node, int) else self.cost[node, way, dot]
+            cost[at + 1] = bits
         return np.cumsum(cost, out=cost)
 
 
 def train_model(train: DataFrame) -> Model:
     """``train`` has columns doc_id and text."""
     spark = train.sparkSession
-    second = F.pmod(F.crc32(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))), F.lit(2)) == 1
-    texts = lambda df: df.select(F.col("text").cast("string").alias("text"))
+    half = F.pmod(F.crc32(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(2)).cast("int")
+    texts = train.select(F.col("text").cast("string").alias("text"), half.alias("half"))
     schema = "segment int, part int, blob binary"
     fan = max(1, math.isqrt(train.rdd.getNumPartitions()))
     parts = lambda df: df.withColumn("part", F.pmod("part", F.lit(fan)))
     counts = np.zeros(STARTS[-1], np.int64)
 
-    def add(rows) -> None:
+    def add(rows, to: np.ndarray) -> None:
         for r in rows:
             if r["blob"]:
                 at, n = unpacked(bytes(r["blob"]))
-                counts[r["segment"] * SEGMENT + at.astype(np.int64)] += n
+                to[r["segment"] * SEGMENT + at.astype(np.int64)] += n
 
-    halves = [texts(train.where(~second)), texts(train.where(second))]
     # Blobs are small, so that only one table is unpacked at a time.
-    blobs = [summed(parts(half.mapInArrow(counter, schema)), fan) for half in halves]
-    for own in blobs:
-        add(own)
-    tree = Tree(counts[: STARTS[1]].reshape(-1, 256).sum(axis=0))
-    scratch = c.Scratch(spark)
-    w, sums = np.full((256, len(CONTEXTS)), FIRST), np.zeros((256, SUMS))
-    bends = slice(1 + len(CONTEXTS), 1 + len(CONTEXTS) + len(PAIRS))
-    for half, other in zip(halves, reversed(blobs), strict=True):
+    counted = [summed(parts(texts.where(F.col("half") == k).select("text").mapInArrow(counter, schema)), fan) for k in (0, 1)]
+    for own in counted:
+        add(own, counts)
+    tree, tables = Tree(counts[: STARTS[1]].reshape(-1, 256).sum(axis=0)), []
+    for own in counted:
         counts[:] = 0
-        add(other)
-        table = spark.sparkContext.broadcast(tree.stretched(counts))
-        rows = scratch.put(parts(half.mapInArrow(learner(tree, table, w), schema)), "learnt")
-        table.destroy()
-        own = rows.groupBy("part").applyInArrow(add_learnt, schema).withColumn("segment", F.lit(-1)).groupBy("segment").applyInArrow(add_learnt, schema).collect()
-        if own:
-            now = np.frombuffer(zstandard.decompress(bytes(own[0]["blob"])), np.float64).reshape(256, SUMS)
-            sums = sums + now
-            w = stepped(w, now[:, 1 : 1 + len(CONTEXTS)], sums[:, bends])
-    add(blobs[1])  # to those of the first half
-    scratch.close()
-    return Model(tree, tree.stretched(counts), w, sums)
+        add(own, counts)
+        tables.append(tree.stretched(counts, np.uint8, levels))
+    shared = spark.sparkContext.broadcast(tables)
+    seen = np.zeros(256 * 2 * GRID ** len(CONTEXTS), np.int64)
+    add(summed(parts(texts.mapInArrow(learner(tree, shared), schema)), fan), seen)
+    shared.destroy()
+    counts[:] = 0
+    add(counted[0], counts)
+    add(counted[1], counts)
+    return Model(tree, counts, seen.reshape(256, 2, -1))
 
 
 # ---------------------------------------------------------------- both

@@ -309,7 +309,7 @@ def test_scores_match_unigrams_and_form_a_distribution(spark, docs, rows):
         assert all(r.train_tokens == total and r.score < 0 for r in got)
     # Whatever was learnt, the ways of each decision share one unit of probability.
     model = scoring.train_model(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
-    p = 2.0 ** -model.cost.reshape(-1, 2).astype(float)
+    p = 2.0 ** -model.cost.astype(float)
     assert abs(p.sum(axis=1) - 1).max() < 1e-5
 
 
