@@ -10,10 +10,11 @@ at once for what follows. A first pass searches one shard for each block; the
 k-th scores found there are shared with all other shards in the second pass.
 
 Scores are integers: components are floor(64 x). Sums that could pass 2**53 are
-formed in exact integer arithmetic.
+formed in exact integer arithmetic, of any size where they could pass 2**63; a
+score beyond a long's range is shown (and ranked) as the end of that range.
 
-Defined results: vectors that are null, empty, hold null or non-finite
-components, or components of 2**31 / 64 or more in size, and rows with null
+Defined results: vectors that are null, empty or hold null or non-finite
+components (or components so large that 64 x is infinite), and rows with null
 ids take no part; scores exist between vectors of one length only; repeated
 query rows give their result once, repeated candidate rows each count (ties in
 score and id in any order, as they are equal); an empty table gives no rows.
@@ -25,6 +26,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,12 @@ from tessera.llm import _core as c
 SCALE = 64
 TOP = 20
 EVERY = 20
-#: Score of no row: under any score, and safe to negate.
+#: The least score that is shown, which is safe to negate.
 NONE = -(2**63) + 1
 SHARD_ROWS = 1 << 14
-BLOCK_ROWS = 1 << 10
+BLOCK_ROWS = 1 << 12
+#: Queries of a block that are searched at a time.
+AT_ONCE = 1 << 10
 LEAF_ROWS = 128
 
 
@@ -82,56 +86,64 @@ class BallTree:
         order = np.lexsort((-bound, who))
         who, ball, bound = who[order], ball[order], bound[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
-        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(q).max(initial=0)) * q.shape[1] < 2**53
-        best_score = np.full((len(q), k), NONE)
-        best_id = np.full((len(q), k), np.iinfo(np.int64).max)
+        most = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(q).max(initial=0)) * q.shape[1]
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         kth = kth.copy()
-        for r in range(int(rank.max(initial=-1)) + 1):
-            now = np.flatnonzero((rank == r) & (bound >= kth[who]))
-            if not len(now):
-                continue
+        r, width = 0, 1
+        while r <= int(rank.max(initial=-1)):
+            # Each query's next leaves; twice as many each time, as the k-th scores move less and less.
+            now = np.flatnonzero((rank >= r) & (rank < r + width) & (bound >= kth[who]))
+            r, width = r + width, 2 * width
+            found = [best]
             now = now[np.argsort(ball[now], kind="stable")]
-            for part in np.split(now, np.flatnonzero(np.diff(ball[now])) + 1):
+            for part in np.split(now, np.flatnonzero(np.diff(ball[now])) + 1) if len(now) else ():
                 rows, own = self.leaves[ball[part[0]]], who[part]
-                s = np.rint(qf[own] @ self.vectors[rows].astype(np.float64).T).astype(np.int64) if exact else q[own] @ self.vectors[rows].T
-                ids = np.broadcast_to(self.ids[rows], s.shape)
-                s = np.where(ids == qid[own][:, None], NONE, s)
-                ids = np.where(ids == qid[own][:, None], np.iinfo(np.int64).max, ids)
-                s, ids = np.concatenate([best_score[own], s], axis=1), np.concatenate([best_id[own], ids], axis=1)
-                top = np.lexsort((ids, -s), axis=1)[:, :k]
-                best_score[own], best_id[own] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
-                full = best_score[own][:, -1]
-                kth[own] = np.maximum(kth[own], np.where(full > NONE, full.astype(np.float64), -np.inf))
-        i, j = np.nonzero(best_id < np.iinfo(np.int64).max)
-        return i, best_id[i, j], best_score[i, j]
+                s = inner(q[own], self.vectors[rows], most)
+                i, j = np.nonzero((s >= kth[own][:, None]) & (self.ids[rows] != qid[own][:, None]))
+                found.append((own[i], self.ids[rows[j]], s[i, j]))
+            i, ids, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids, -s, i))
+            i, ids, s = i[order], ids[order], s[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            top = place < k
+            best = i[top], ids[top], s[top]
+            full = np.flatnonzero(place == k - 1)
+            kth[i[full]] = np.maximum(kth[i[full]], s[full].astype(np.float64))
+        return best
+
+
+def inner(q: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
+    """Integer inner products of rows of whole numbers (as doubles); ``most`` bounds their size."""
+    if most < 2**53:
+        return np.rint(q @ v.T).astype(np.int64)
+    if most < 2**62:
+        return q.astype(np.int64) @ v.astype(np.int64).T
+    whole = lambda x: np.array([[int(c) for c in row] for row in x], object)
+    return np.clip(whole(q) @ whole(v).T, NONE, -NONE).astype(np.int64)
 
 
 def integers(batches):
-    """(vec_id, dim, packed integer components) of the vectors that take part."""
+    """(vec_id, dim, packed whole components) of the vectors that take part."""
     for batch in batches:
-        ids, column = batch.column("vec_id"), batch.column("embedding")
-        keep_id, out_id, out_dim, out = ids.is_valid().to_pylist(), [], [], []
-        for k, valid in enumerate(keep_id):
-            if not valid or not column[k].is_valid:
-                continue
-            x = column[k].values.cast(pa.float64())
-            if not len(x) or x.null_count:
-                continue
-            x = np.floor(SCALE * x.to_numpy(zero_copy_only=False))
-            if np.isfinite(x).all() and (np.abs(x) < 2**31).all():
-                out_id.append(ids[k].as_py())
-                out_dim.append(len(x))
-                out.append(x.astype(np.int64).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_dim, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
+        column = batch.column("embedding")
+        many = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten()  # null lists have no values
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = np.floor(SCALE * pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False)) + 0.0
+        ends = np.cumsum(many)
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+        good = (many > 0) & (bad[ends] == bad[ends - many]) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
+        blobs = [x[e - n : e].tobytes() for e, n in zip(ends[good].tolist(), many[good].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(good)), pa.array(many[good], pa.int32()), pa.array(blobs, pa.binary())], ["vec_id", "dim", "v"])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.int32) for x in column.to_pylist()]).astype(np.int64)
+    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
 
 
 def build(table: pa.Table) -> pa.Table:
     table = table.sort_by([("vec_id", "ascending"), ("v", "ascending")])
-    tree = BallTree(table.column("vec_id").to_numpy(), _matrix(table.column("v")).astype(np.int32))
+    tree = BallTree(table.column("vec_id").to_numpy(), _matrix(table.column("v")))
     return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
@@ -154,7 +166,12 @@ def searcher(k: int):
         ids, q = pickle.loads(blocks[0]["queries"])
         known = blocks[0]["kth"]
         kth = np.frombuffer(known, np.float64) if known else np.full(len(ids), -np.inf)
-        i, found, score = pickle.loads(trees[0]).search(ids, q, kth, k)
+        tree, best = pickle.loads(trees[0]), []
+        for at in range(0, len(ids), AT_ONCE):
+            own = slice(at, at + AT_ONCE)
+            i, found, score = tree.search(ids[own], q[own], kth[own], k)
+            best.append((i + at, found, score))
+        i, found, score = (np.concatenate(x) for x in zip(*best, strict=True))
         return pa.table({"dim": pa.array(np.full(len(i), blocks[0]["dim"], np.int32)), "block": pa.array(np.full(len(i), blocks[0]["block"])), "number": pa.array(i), "query_id": pa.array(ids[i]), "vec_id": pa.array(found), "score": pa.array(score)})
 
     return run
