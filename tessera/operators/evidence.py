@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values that are resampled, at most.
+BOOTSTRAP_VALUES = 100_000
+
 
 def _better(value: Column, maximize: bool) -> Column:
     return value if maximize else -value
@@ -125,9 +128,11 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> Da
 
 
 def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """Mean and 95 % interval by resampling; a few benchmark values, each numbered, so a draw is an array lookup."""
-    spark = values.sparkSession
-    v = [r[0] for r in values.where(F.col(column).isNotNull()).select(F.col(column).cast("double")).orderBy(column).limit(100_000).collect()]
+    """Mean and 95 % interval by resampling; a few benchmark values, each numbered, so a draw is an array lookup. More than BOOTSTRAP_VALUES are an error."""
+    spark, own = values.sparkSession, values.where(F.col(column).isNotNull()).select(F.col(column).cast("double"))
+    v = [r[0] for r in own.orderBy(column).limit(BOOTSTRAP_VALUES + 1).collect()]
+    if len(v) > BOOTSTRAP_VALUES:
+        raise ValueError(f"more than {BOOTSTRAP_VALUES} values to resample")
     n = len(v)
     if n < 2:
         return spark.createDataFrame([(v[0] if v else None, None, None, n)], "mean double, low double, high double, n int")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
 
-from tessera.contracts import COMMUTATIVE, STATEFUL, ContractError, Dataset, Feature, check_features, need
+from tessera.contracts import COMMUTATIVE, MAX_SET, SIGNATURES, STATEFUL, ContractError, Dataset, Feature, need
 
 VERSION = "1"
 
@@ -34,6 +34,13 @@ class Node:
     def stateful(self) -> bool:
         return self.feature.op in STATEFUL
 
+    def fits(self, kinds: dict[str, str]) -> Node:
+        """Itself, if its operator takes inputs of these kinds."""
+        f = self.feature
+        wrong = [f"{x} is {kinds[x]}, not {kind}" for x, kind in zip(f.inputs, SIGNATURES[f.op], strict=True) if kind not in ("any", kinds[x])]
+        need(not wrong, f"{f.name} ({f.op}): {'; '.join(wrong)}")
+        return self
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -42,14 +49,19 @@ class Graph:
 
     @classmethod
     def of(cls, dataset: Dataset, features, trials: dict[str, int] | None = None) -> Graph:
-        """Features in any order; a cycle, a dangling name or a wrong kind is an error."""
+        """Features in any order; a cycle, a dangling or taken name, a wrong kind or a repeated expression is an error."""
         own = {f.name: f for f in features}
         need(len(own) == len(list(features)), "feature names must be unique")
+        need(len(own) <= MAX_SET, f"at most {MAX_SET} features in a set")
+        clash = sorted(own.keys() & {f.name for f in dataset.fields})
+        need(not clash, f"names of fields: {clash}")
+        dangling = sorted({x for f in own.values() for x in f.inputs} - own.keys() - {f.name for f in dataset.usable})
+        need(not dangling, f"unknown inputs: {dangling}")
         try:
-            order = list(graphlib.TopologicalSorter({n: [x for x in f.inputs if x in own] for n, f in own.items()}).static_order())
+            order = [n for n in graphlib.TopologicalSorter({n: f.inputs for n, f in own.items()}).static_order() if n in own]
         except graphlib.CycleError as e:
             raise ContractError(f"cycle: {e.args[1]}") from None
-        check_features([own[n] for n in order], dataset)
+        kinds = {f.name: f.dtype for f in dataset.usable} | {n: f.dtype for n, f in own.items()}
         generation = {f.name: 0 for f in dataset.usable}
         expression = {f.name: digest(["field", f.name, f.dtype]) for f in dataset.usable}
         content = dict(expression)
@@ -61,7 +73,8 @@ class Graph:
             generation[n] = 1 + max(generation[x] for x in f.inputs)
             expression[n] = digest({"version": VERSION, "op": f.op, "inputs": arranged(expression), "params": params})
             content[n] = digest({"version": VERSION, "name": n, "op": f.op, "inputs": arranged(content), "params": params})
-            nodes.append(Node(f, generation[n], expression[n], content[n], (trials or {}).get(n)))
+            nodes.append(Node(f, generation[n], expression[n], content[n], (trials or {}).get(n)).fits(kinds))
+        need(len({x.expression for x in nodes}) == len(nodes), "an expression repeats")
         return cls(dataset, tuple(sorted(nodes, key=lambda x: (x.generation, x.expression, x.feature.name))))
 
     @cached_property

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 
-from tessera.contracts import SIGNATURES, ContractError, Dataset, Feature, Hypothesis, Proposal, check_features
+from tessera.contracts import SIGNATURES, ContractError, Dataset, Feature, Hypothesis, Proposal
 from tessera.plans.graph import Graph
 
 TRIES = 100
@@ -41,7 +42,7 @@ def rng_of(seed: int, number: int) -> np.random.Generator:
 
 def fits(parent: Graph, new: list[Feature], feature: Feature) -> bool:
     try:
-        check_features([*parent.features, *new, feature], parent.dataset)
+        Graph.of(parent.dataset, [*parent.features, *new, feature])
     except ContractError:
         return False
     return True
@@ -139,8 +140,11 @@ Transport = Callable[[str, dict[str, str], bytes], tuple[int, bytes]]
 
 
 def http(url: str, headers: dict[str, str], body: bytes) -> tuple[int, bytes]:
-    with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=60) as reply:  # noqa: S310
-        return reply.status, reply.read()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=60) as reply:  # noqa: S310
+            return reply.status, reply.read()
+    except urllib.error.HTTPError as e:  # a reply too, which the client judges by its status
+        return e.code, e.read()
 
 
 @dataclass
@@ -207,7 +211,7 @@ class ModelSampler:
                 known = context.columns
                 if known is not None and any(x not in known and x not in {f.name for f in (*p.features, *context.parent.features)} for f in p.features for x in f.inputs):
                     raise ContractError("inputs must be among the columns shown")
-                check_features([*(f for f in context.parent.features if f.name not in p.remove), *p.features], context.dataset)
+                Graph.of(context.dataset, [*(f for f in context.parent.features if f.name not in p.remove), *p.features])
                 return p
             except ContractError as e:
                 if k == self.repairs:
