@@ -53,7 +53,7 @@ STAGES = [
     ("shard", sharding_stage),
 ]
 
-#: A fitted model decides the first stage, which SQL can't express; tests hold the stages against brute force.
+#: A fitted model decides the first stage, which SQL can't express; tests hold the operators against brute force and the stages against planted rows.
 ORACLE_SQL = None
 
 
