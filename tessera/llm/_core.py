@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 # ---------------------------------------------------------------- scratch
 
 #: Bytes of an Arrow batch sent to Python, about; one row may be larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -145,7 +145,8 @@ ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 f
 NONSPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
-SEGMENT = 1 << 19
+#: Bytes that are hashed at a time; hashes don't depend on it.
+SEGMENT = 1 << 17
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWERED = _BYTES[LOWER]
@@ -180,7 +181,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches, column: str = "text", most: int = 1 << 22):
+def pieces(batches, column: str = "text", most: int = 1 << 21):
     """Batches cut between rows, so that each holds few bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:

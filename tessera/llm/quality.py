@@ -110,7 +110,8 @@ class Machine:
         total = words + bins.shape[1]
         docs = np.repeat(np.arange(n, dtype=np.int32), total)
         slots, values = np.empty(len(docs), np.int32), np.full(len(docs), 0.5, np.float32)
-        is_word = np.arange(len(docs)) - np.repeat(np.cumsum(total) - total, total) < np.repeat(words, total)
+        is_word = np.ones(len(docs), bool)
+        is_word[(np.cumsum(total)[:, None] - np.arange(bins.shape[1], 0, -1)).ravel()] = False
         slots[is_word], values[is_word], slots[~is_word] = s, value, bins.ravel()
         return docs, slots, values
 
@@ -181,21 +182,24 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label:
 
 def fitted(table: pa.Table) -> pa.Table:
     """The pickled machine of a sample of packed rows (doc_id, y, x)."""
-    table = table.sort_by("doc_id")
-    k, n = len(STATISTICS), table.num_rows
+    order, k, n = pc.sort_indices(table, [("doc_id", "ascending")]).to_numpy(), len(STATISTICS), table.num_rows
     blobs = table.column("x").combine_chunks()
-    sizes = (pc.binary_length(blobs).to_numpy() // 4 - k) // 2
+    sizes = ((pc.binary_length(blobs).to_numpy() // 4 - k) // 2)[order]
     at = np.concatenate([[0], np.cumsum(sizes)])
     d = np.repeat(np.arange(n, dtype=np.int32), sizes)
     s, v, stats = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32), np.empty((n, k))
     for i in range(n):
-        x, words = blobs[i].as_buffer(), int(sizes[i])
+        x, words = blobs[int(order[i])].as_buffer(), int(sizes[i])
         stats[i] = np.frombuffer(x, np.float32, k)
         s[at[i] : at[i + 1]] = np.frombuffer(x, np.int32, words, 4 * k)
         v[at[i] : at[i + 1]] = np.frombuffer(x, np.float32, words, 4 * (k + words))
     machine = Machine(np.stack([np.quantile(stats[:, j], np.arange(1, BINS) / BINS) for j in range(k)]))
-    y = table.column("y").to_numpy().astype(np.float32)
-    return pa.table({"machine": pa.array([pickle.dumps(machine.fit(*machine.design(d, s, v, stats), y))], pa.binary())})
+    y = table.column("y").to_numpy()[order].astype(np.float32)
+    design = machine.design(d, s, v, stats)
+    del blobs, d, s, v
+    machine.fit(*design, y)
+    c.release()
+    return pa.table({"machine": pa.array([pickle.dumps(machine)], pa.binary())})
 
 
 def score(documents: DataFrame, machine: Machine | None, keep: list[str], name: str = "__score") -> DataFrame:
