@@ -119,18 +119,18 @@ class FoldPipeline:
         return out.withColumn("p", vector_to_array("probability")) if self.adapter.classifier else out
 
 
-def scored(predictions: DataFrame, label: str, names: list[str], classes: int, by: list[str]) -> DataFrame:
-    """All metrics of all groups in one row per group."""
+def scored(predictions: DataFrame, label: str, names: list[str], classes: int, by: list[str], small: bool = False) -> DataFrame:
+    """All metrics of all groups in one row per group. ``small``: each group has a known small bound."""
     own = F.get(F.col("p"), F.col(label).cast("int")) if any(n in ("log_loss",) for n in names) else None
     plain = {"accuracy": lambda: metrics.accuracy(label, "prediction"), "log_loss": lambda: metrics.log_loss(own), "rmse": lambda: metrics.rmse(label, "prediction"), "mae": lambda: metrics.mae(label, "prediction"), "r2": lambda: metrics.r2(label, "prediction")}
     out = predictions.groupBy(*by).agg(F.count("*").alias("rows"), *(plain[n]().alias(n) for n in names if n in plain))
     if "auc" in names:
-        out = out.join(metrics.auc(predictions.withColumn("__p", F.get("p", F.lit(1))), "__p", F.col(label) == 1, by), by)
+        out = out.join(metrics.auc(predictions.withColumn("__p", F.get("p", F.lit(1))), "__p", F.col(label) == 1, by, small=small), by)
     if "f1" in names:
         out = out.join(metrics.f1(predictions, label, "prediction", by), by)
     if "auc_ovr" in names:
         cols = {float(k): f"__p{k}" for k in range(classes)}
-        out = out.join(metrics.auc_ovr(predictions.withColumns({v: F.get("p", F.lit(int(k))) for k, v in cols.items()}), label, cols, by), by)
+        out = out.join(metrics.auc_ovr(predictions.withColumns({v: F.get("p", F.lit(int(k))) for k, v in cols.items()}), label, cols, by, small=small), by)
     return out
 
 
@@ -173,7 +173,7 @@ def importance(pipe: FoldPipeline, valid: DataFrame, label: str, metric: str, cl
         for k in range(repeats):
             parts.append(few.assign(**{n: few[n].to_numpy()[rng.permutation(len(few))], "__column": n, "__repeat": k}))
     stacked = valid.sparkSession.createDataFrame(pd.concat(parts), schema=valid.withColumns({"__column": F.lit(""), "__repeat": F.lit(0)}).schema)
-    rows = scored(pipe.predict(stacked), label, [metric], classes, ["__column", "__repeat"]).collect()
+    rows = scored(pipe.predict(stacked), label, [metric], classes, ["__column", "__repeat"], small=True).collect()
     base = next((r[metric] for r in rows if r["__column"] == ""), None)
     sign = 1 if metrics.DIRECTION[metric] == "maximize" else -1
     out = {n: [sign * ((base or 0.0) - (r[metric] or 0.0)) for r in rows if r["__column"] == n] for n in names}
@@ -181,10 +181,11 @@ def importance(pipe: FoldPipeline, valid: DataFrame, label: str, metric: str, cl
 
 
 def directions(pipe: FoldPipeline, valid: DataFrame, label: str, fold: str) -> dict[str, float]:
-    """Rank correlation of each derived numeric column with the label."""
-    out = {}
-    for f in pipe.graph.features:
-        if f.dtype == "numeric":
-            row = metrics.spearman(valid, f.name, label, [fold]).first()
-            out[f.name] = row["rho"] if row and row["rho"] is not None and row["rho"] == row["rho"] else 0.0
-    return out
+    """Rank correlation of each derived numeric column with the label, all in one go; 0 where it has none."""
+    names = [f.name for f in pipe.graph.features if f.dtype == "numeric"]
+    if not names:
+        return {}
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")
+    long = valid.select(F.col(label).alias("__label"), cells).select("__label", "x.*")
+    found = {r["name"]: r["rho"] for r in metrics.spearman(long, "value", "__label", ["name"]).collect()}
+    return {n: found[n] if found.get(n) is not None else 0.0 for n in names}

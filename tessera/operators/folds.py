@@ -25,29 +25,50 @@ def _as_double(df: DataFrame, column: Column) -> Column:
     return column.cast("double")
 
 
-def placed(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds __place, the row's place from 0 in the ascending order within its group, and __total, the group's rows.
-
-    Rows are numbered within ranges of the leading order column, cut at its
-    approximate quantiles; the counts of the ranges before are added. So
-    neither a global order nor a large group goes to one task, unless one
-    value of the leading order column is itself that frequent. Nulls come first.
-    """
-    keyed = df.withColumn("__key", _as_double(df, order[0]))
+def ranged(df: DataFrame, column: Column) -> DataFrame:
+    """Adds __range, which never falls as the column grows; cut at its approximate quantiles. Nulls come first, NaN last."""
+    keyed = df.withColumn("__key", _as_double(df, column))
     quantiles = keyed.agg(F.percentile_approx("__key", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0] or []
     cuts = sorted({q for q in quantiles if abs(q) < float("inf")}) or [0.0]
     cutter = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range", handleInvalid="keep")
-    ranged = cutter.transform(keyed).withColumn("__range", F.when(F.col("__key").isNull(), -1.0).otherwise(F.col("__range"))).drop("__key")
-    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    return cutter.transform(keyed).withColumn("__range", F.when(F.col("__key").isNull(), -1.0).otherwise(F.col("__range"))).drop("__key")
+
+
+def with_before(rows: DataFrame, counts: DataFrame, by: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    """Of sums per group and range: adds to each row __before_<x>, the sum over the group's ranges before its own, and __total_<x>, the group's."""
     w = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*(F.col(x).alias(f"__by_{x}") for x in by), F.col("__range").alias("__of"), before.alias("__before"), F.sum("__n").over(w).alias("__total"))
-    numbered = ranged.withColumn("__place", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1)
+    before = lambda x: F.coalesce(F.sum(x).over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(x).alias(f"__by_{x}") for x in by), F.col("__range").alias("__of"), *(c for x in sums for c in (before(x).alias(f"__before_{x}"), F.sum(x).over(w).alias(f"__total_{x}"))))
     same = F.col("__range") == F.col("__of")
     for x in by:
         same &= F.col(x).eqNullSafe(F.col(f"__by_{x}"))
     # Without groups there are at most RANGES + 2 counts; with them, the optimizer picks by size.
-    return numbered.join(counts if by else F.broadcast(counts), same).withColumn("__place", F.col("__place") + F.col("__before")).select(*df.columns, "__place", "__total")
+    return rows.join(counts if by else F.broadcast(counts), same).drop("__of", *(f"__by_{x}" for x in by))
+
+
+def placed(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds __place, the row's place from 0 in the ascending order within its group, and __total, the group's rows.
+
+    Rows are numbered within ranges of the leading order column; the counts of
+    the ranges before are added. So neither a global order nor a large group
+    goes to one task, unless one value of the leading order column is itself
+    that frequent. Nulls come first.
+    """
+    rows = ranged(df, order[0])
+    counts = rows.groupBy(*by, "__range").agg(F.count("*").alias("n"))
+    numbered = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1)
+    whole = with_before(numbered, counts, by, ("n",))
+    return whole.select(*df.columns, (F.col("__place") + F.col("__before_n")).alias("__place"), F.col("__total_n").alias("__total"))
+
+
+def below(df: DataFrame, value: str, sums: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each column of ``sums``, below_<x>, its sum over the group's rows with smaller values, and total_<x>. One row per group and value."""
+    rows = ranged(df, F.col(value))
+    counts = rows.groupBy(*by, "__range").agg(*(F.sum(x).alias(x) for x in sums))
+    w = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumns({f"__own_{x}": F.coalesce(F.sum(x).over(w), F.lit(0)) for x in sums})
+    whole = with_before(summed, counts, by, sums)
+    return whole.select(*df.columns, *(c for x in sums for c in ((F.col(f"__own_{x}") + F.col(f"__before_{x}")).alias(f"below_{x}"), F.col(f"__total_{x}").alias(f"total_{x}"))))
 
 
 def row_hash(row_id: Column, seed: int) -> Column:
@@ -69,12 +90,17 @@ def stratified(df: DataFrame, label: str, order: Column, k: int, out: str = "fol
 
 
 def group(df: DataFrame, column: str, k: int, out: str = "fold") -> DataFrame:
-    """All rows of a group in one fold; groups by size (largest first) go round the folds there and back, which keeps sizes even."""
+    """All rows of a group in one fold; groups by size (largest first, then by value) go round the folds there and back, which keeps sizes even.
+
+    A group's place is its place among groups of its own size and the number of
+    larger ones. There are few different sizes: at most the root of twice the rows.
+    """
     sizes = df.groupBy(column).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(F.col("__n").desc(), column)
-    place = F.row_number().over(w) - 1
-    turn = F.pmod(place, F.lit(2 * k))
-    folds = sizes.select(column, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias(out))
+    larger = sizes.groupBy(F.col("__n").alias("__size")).agg(F.count("*").alias("__groups"))
+    larger = larger.select("__size", F.coalesce(F.sum("__groups").over(Window.orderBy(F.col("__size").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__larger"))
+    numbered = placed(sizes, [F.col(column)], ("__n",)).join(larger, F.col("__n") == F.col("__size"))
+    turn = F.pmod(F.col("__place") + F.col("__larger"), F.lit(2 * k))
+    folds = numbered.select(column, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias(out))
     return df.join(folds, column)
 
 

@@ -31,12 +31,16 @@ def standardize(df: DataFrame, found: dict[str, tuple[float, float]]) -> DataFra
 
 
 def ranked_levels(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> DataFrame:
-    """(value, n, slot): slots from 0 by count, then value; values past ``most`` - 1 share the last slot if there are more than ``most``."""
+    """(value, n, slot): slots from 0 by count, then value; values past ``most`` - 1 share the last slot if there are more than ``most``.
+
+    Only the first ``most`` + 1 values are put in order; the others need no place.
+    """
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col("n").desc(), "value")
-    total = F.count("*").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(w) - 1
-    return counts.withColumn("slot", F.when((total > most) & (place >= most - 1), most - 1).otherwise(place).cast("int"))
+    first = counts.orderBy(F.col("n").desc(), "value").limit(most + 1)
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "value")) - 1
+    first = first.select(F.col("value").alias("__value"), place.alias("__place"), F.count("*").over(Window.partitionBy()).alias("__many"))
+    slot = F.when((F.col("__many") > most) & (F.col("__place") >= most - 1), most - 1).otherwise(F.col("__place"))
+    return counts.join(F.broadcast(first), F.col("value").eqNullSafe(F.col("__value")), "left").select("value", "n", F.coalesce(slot, F.lit(most - 1)).cast("int").alias("slot"))
 
 
 def one_hot(df: DataFrame, column: str, levels: DataFrame, out: str) -> DataFrame:

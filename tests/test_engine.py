@@ -3,6 +3,8 @@
 import json
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,6 +353,33 @@ def test_places_follow_the_order_within_groups(spark):
     assert folds.placed(df.limit(0), [F.col("x")]).count() == 0
 
 
+def test_curves_ranks_and_groups_in_ranges_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(folds, "RANGES", 7)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": range(400), "s": np.round(rng.normal(size=400), 1), "z": rng.normal(size=400), "y": rng.integers(0, 2, 400), "g": rng.integers(0, 3, 400), "own": (rng.pareto(0.7, 400) * 3).astype(int) % 90})
+    df = spark.createDataFrame(pdf)
+
+    def pairs(p):
+        hit, other = p.s[p.y == 1].to_numpy(), p.s[p.y == 0].to_numpy()
+        return ((hit[:, None] > other).sum() + (hit[:, None] == other).sum() / 2) / (len(hit) * len(other))
+
+    assert metrics.auc(df, "s", F.col("y") == 1).first().auc == pytest.approx(pairs(pdf))
+    for small in (False, True):
+        per = {r.g: r.auc for r in metrics.auc(df, "s", F.col("y") == 1, ["g"], small=small).collect()}
+        assert per == {k: pytest.approx(pairs(p)) for k, p in pdf.groupby("g")}
+    rho = {r.g: r.rho for r in metrics.spearman(df, "s", "z", ["g"]).collect()}
+    assert rho == {k: pytest.approx(p.s.rank().corr(p.z.rank())) for k, p in pdf.groupby("g")}
+    assert metrics.spearman(df.withColumn("c", F.lit(1)), "s", "c", []).first().rho is None
+    assert metrics.auc(df.limit(0), "s", F.col("y") == 1).first().auc is None
+
+    sizes = pdf.own.value_counts()
+    order = sorted(sizes.index, key=lambda v: (-sizes[v], v))
+    turn = {v: i % 8 if i % 8 < 4 else 7 - i % 8 for i, v in enumerate(order)}
+    assert all(r.fold == turn[r.own] for r in folds.group(df, "own", 4).collect())
+    levels = {r.value: r.slot for r in prep.ranked_levels(df, "own", 5).collect()}
+    assert levels == {v: min(i, 4) for i, v in enumerate(order)}
+
+
 def test_command_line_picks_the_best_by_the_metric(tmp_path, capsys):
     from tessera.cli import main
     from tessera.sources.ledger import Ledger
