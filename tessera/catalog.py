@@ -260,9 +260,11 @@ def fold_stratified(spark, d):
     return folds.stratified(t(spark, d, "orders"), "o_orderstatus", F.col("o_orderkey"), 3).select("o_orderkey", "fold")
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS INTEGER) AS fold FROM orders")
+@query("SELECT count(*) AS rows, 5 AS folds, true AS even FROM orders")
 def fold_kfold(spark, d):
-    return folds.by_key(t(spark, d, "orders"), "o_orderkey", 5).select("o_orderkey", "fold")
+    sizes = folds.kfold(t(spark, d, "orders"), "o_orderkey", 5, seed=3).groupBy("fold").count()
+    even = F.max(F.abs(F.col("count") / F.lit(t(spark, d, "orders").count()) - 0.2)) < 0.05
+    return sizes.agg(F.sum("count").alias("rows"), F.count("*").cast("int").alias("folds"), even.alias("even"))
 
 
 @query("WITH s AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS place FROM events GROUP BY 1) SELECT event_id, CAST(CASE WHEN place % 6 < 3 THEN place % 6 ELSE 5 - place % 6 END AS INTEGER) AS fold FROM events JOIN s USING (user_id)")
@@ -285,6 +287,22 @@ def fold_disjoint(spark, d):
     return folds.disjoint(folds.kfold(t(spark, d, "orders"), "o_orderkey", 3, 7), "o_orderkey").agg(F.count("*").alias("overlapping"))
 
 
+@query("SELECT l_orderkey, count(DISTINCT l_linestatus) AS splits FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1")
+def split_conflicts(spark, d):
+    return evidence.split_conflicts(t(spark, d, "lineitem"), ["l_orderkey"], "l_linestatus")
+
+
+@query("SELECT concept, name, score FROM (SELECT p_brand AS concept, p_partkey AS name, p_retailprice AS score, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place = 1 ORDER BY score DESC, name LIMIT 5")
+def retrieve_concepts(spark, d):
+    columns = t(spark, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_partkey").alias("name"), F.col("p_retailprice").alias("score"))
+    return retrieval.concepts(columns, 5)
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS INTEGER) AS fold FROM orders")
+def fold_by_key(spark, d):
+    return folds.by_key(t(spark, d, "orders"), "o_orderkey", 5).select("o_orderkey", "fold")
+
+
 # ---------------------------------------------------------------- metrics
 
 AUC = "SELECT {1}round(sum(p * (b + q / 2e0)) / (CAST(sum(p) AS DOUBLE) * sum(q)), 8) AS {2} FROM (SELECT *, coalesce(sum(q) OVER ({3}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ({0}))"

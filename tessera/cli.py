@@ -66,11 +66,12 @@ def optimize(config: dict) -> dict:
     sampler = sampler_of(config.get("sampler", {"kind": "random"}), config.get("seed", 0))
     out = at(config.get("output", "output"))
     os.makedirs(out, exist_ok=True)
-    study = Study(Dataset.parse(schema), config["metric"], config["estimator"], sampler, Ledger(os.path.join(out, "ledger.db")), config.get("name", "study"), config.get("strategy", "greedy"), most=config.get("features_per_trial", 2))
-    model = study.optimize(df.withColumn(label, F.col(label).cast("double")), label, "fold", Budget(**config.get("budget", {"trials": 3})))
+    study = Study(Dataset.parse(schema), config["metric"], config.get("estimator"), sampler, Ledger(os.path.join(out, "ledger.db")), config.get("name", "study"), config.get("strategy", "greedy"), most=config.get("features_per_trial", 2), log=os.path.join(out, "search.log"))
+    df = df.withColumn(label, F.col(label).cast("double"))
+    model = study.optimize(df, label, "fold", Budget(**config.get("budget", {"trials": 3})))
     best = study.best()
     if model:
-        model.save(os.path.join(out, "pipeline"))
+        study.refit(df, label).save(os.path.join(out, "pipeline"))
     report.write(os.path.join(out, "features.json"), json.dumps({"features": [{k: r[k] for k in ("name", "op", "inputs", "params", "hypothesis")} for r in (best or {}).get("features", [])]}))
     report.write(os.path.join(out, "trials.json"), json.dumps(study.trials))
     report.write(os.path.join(out, "report.html"), report.render(study.name, study.trials, study.maximize))

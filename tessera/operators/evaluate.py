@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,9 +12,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.contracts import Dataset, need
 from tessera.operators import folds, metrics, prep
 from tessera.plans.compiler import FeatureModel, fit
 from tessera.plans.graph import Graph
@@ -54,6 +58,12 @@ ESTIMATORS = {
 }
 
 
+def default_estimator(metric: str) -> str:
+    """Where none is named: logistic regression for metrics of classes, ridge for those of numbers."""
+    need(metric in metrics.DIRECTION, f"unknown metric {metric}")
+    return "logistic" if metric in metrics.CLASSIFICATION else "ridge"
+
+
 @dataclass
 class Result:
     metrics: dict[str, float]
@@ -118,6 +128,46 @@ class FoldPipeline:
         out = self.model.transform(self.prepare(frame))
         return out.withColumn("p", vector_to_array("probability")) if self.adapter.classifier else out
 
+    def apply(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Of raw rows, which need no label: the columns of ``keep``, prediction, and p for classifiers."""
+        own = {k: f"__kept_{j}" for j, k in enumerate(keep)}
+        ready = df.withColumns({v: F.col(k) for k, v in own.items()})
+        out = self.predict(self.features.transform(ready, keep=tuple(own.values())))
+        return out.select(*(F.col(v).alias(k) for k, v in own.items()), "prediction", *(["p"] if self.adapter.classifier else []))
+
+    def save(self, path: str) -> None:
+        """Everything that ``apply`` needs, under one folder that appears whole: written beside it, then renamed; an older one goes first."""
+        part = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        spark = SparkSession.active()
+        self.features.save(f"{part}/features")
+        self.model.write().save(f"{part}/model")
+        for k, ranked in enumerate(self.rare.values()):
+            ranked.write.parquet(f"{part}/rare/{k}")
+        dataset = {"fields": [vars(f) | {"semantic_tags": list(f.semantic_tags)} for f in self.graph.dataset.fields]}
+        meta = {"dataset": dataset, "label": self.label, "classes": self.classes, "classifier": self.adapter.classifier, "numeric": self.numeric, "medians": self.medians, "scales": self.scales, "levels": self.levels, "rare": list(self.rare)}
+        spark.createDataFrame([(json.dumps(meta),)], "pipeline string").coalesce(1).write.text(f"{part}/pipeline")
+        jvm = spark.sparkContext._jvm
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(part)
+        files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        need(files.rename(new, old), f"{path} can't be renamed")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FoldPipeline:
+        meta = json.loads(spark.read.text(f"{path}/pipeline").first()[0])
+        dataset = Dataset.parse(meta["dataset"])
+        features = FeatureModel.load(spark, f"{path}/features", dataset)
+        pipe = cls(features.graph, meta["label"], Adapter(_loaded, meta["classifier"]), {}, meta["classes"])
+        pipe.features, pipe.numeric, pipe.medians, pipe.levels = features, meta["numeric"], meta["medians"], meta["levels"]
+        pipe.scales = {c: tuple(x) for c, x in meta["scales"].items()}
+        pipe.rare = {c: spark.read.parquet(f"{path}/rare/{k}") for k, c in enumerate(meta["rare"])}
+        pipe.model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+        return pipe
+
+
+def _loaded(*sizes, **params):
+    raise ValueError("a loaded pipeline is fitted already")
+
 
 def scored(predictions: DataFrame, label: str, names: list[str], classes: int, by: list[str], small: bool = False) -> DataFrame:
     """All metrics of all groups in one row per group. ``small``: each group has a known small bound."""
@@ -180,6 +230,12 @@ def importance(pipe: FoldPipeline, valid: DataFrame, label: str, metric: str, cl
     return {n: sum(v) / max(1, len(v)) for n, v in out.items()}
 
 
+def explain_holdout(pipe: FoldPipeline, held_out: DataFrame, metric: str, row_id: str | None = None, repeats: int = 3) -> dict[str, float]:
+    """Permutation importance of a frozen pipeline's columns on raw rows that it has not been fitted on."""
+    keep = (pipe.label,) + ((row_id,) if row_id else ())
+    return importance(pipe, pipe.features.transform(held_out, keep=keep), pipe.label, metric, pipe.classes, row_id, repeats)
+
+
 def directions(pipe: FoldPipeline, valid: DataFrame, label: str, fold: str) -> dict[str, float]:
     """Rank correlation of each derived numeric column with the label, all in one go; 0 where it has none."""
     names = [f.name for f in pipe.graph.features if f.dtype == "numeric"]

@@ -127,6 +127,11 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> Da
     return left.join(right.select(*keys, F.col(value).alias(f"{value}_base")), keys).withColumn("difference", F.col(value) - F.col(f"{value}_base"))
 
 
+def split_conflicts(runs: DataFrame, by: list[str], split: str) -> DataFrame:
+    """Comparisons whose runs weren't made on one and the same split: groups with more than one split hash (a missing one counts too)."""
+    return runs.groupBy(*by).agg(F.count_distinct(F.coalesce(F.col(split).cast("string"), F.lit("<missing>"))).alias("splits")).where("splits > 1")
+
+
 def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """Mean and 95 % interval by resampling; a few benchmark values, each numbered, so a draw is an array lookup. More than BOOTSTRAP_VALUES are an error."""
     spark, own = values.sparkSession, values.where(F.col(column).isNotNull()).select(F.col(column).cast("double"))

@@ -48,6 +48,12 @@ def semantic(columns: DataFrame, query: str, k: int, guidance: str = "", useful:
     return s.orderBy(F.col("score").desc(), "name").limit(k)
 
 
+def concepts(scored: DataFrame, k: int) -> DataFrame:
+    """The k concepts whose best column comes first (by score, then name), in that order, each with that column."""
+    best = scored.groupBy("concept").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("best"))
+    return best.select("concept", F.col("best.name").alias("name"), (-F.col("best.low")).alias("score")).orderBy(F.col("score").desc(), "name").limit(k)
+
+
 def rule(columns: DataFrame, tokens: list[str], k: int) -> DataFrame:
     """The k best by how many tokens occur in their documents."""
     hits = sum((F.col("clean").contains(t).cast("int") for t in tokens), F.lit(0))

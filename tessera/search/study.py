@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera import __version__
 from tessera.contracts import ContractError, Dataset, check_params, need
 from tessera.operators import metrics, prep, retrieval
-from tessera.operators.evaluate import Result, evaluate
+from tessera.operators.evaluate import ESTIMATORS, FoldPipeline, Result, default_estimator, evaluate
 from tessera.plans.compiler import FeatureModel, fit
 from tessera.plans.graph import Graph, digest
 from tessera.search.samplers import Context, Sampler
@@ -54,7 +55,7 @@ def fingerprint(df: DataFrame, dataset: Dataset, columns: list[str], settings: d
 class Study:
     dataset: Dataset
     metric: str
-    estimator: str
+    estimator: str | None
     sampler: Sampler
     ledger: Ledger
     name: str = "study"
@@ -67,6 +68,10 @@ class Study:
     joint_optimization: bool = False
     explain: bool = True
     most_columns: int = 20
+    #: Derived features that a trial's graph may have; a parent that is full and has no untried removal of a leaf left is passed over.
+    capacity: int | None = None
+    #: A file for one line per trial.
+    log: str | None = None
     callbacks: tuple[Callable[[Study, dict], None], ...] = ()
     #: Shared by studies of the same data, whatever their samplers and strategies: what one has evaluated, another need not fit.
     artifacts: Artifacts | None = None
@@ -79,6 +84,7 @@ class Study:
         need(self.strategy in ("independent", "greedy", "beam", "autonomous"), f"unknown strategy {self.strategy}")
         need(bool(self.name) and "/" not in self.name and self.name not in (".", ".."), "a study's name is one path component")
         need(not self.param_space or self.joint_optimization, "a parameter space needs joint optimization")
+        self.estimator = self.estimator or default_estimator(self.metric)
         if self.strategy == "autonomous" and self.patience is None:
             self.patience = 8
 
@@ -96,13 +102,20 @@ class Study:
     def graph(self, trial: dict) -> Graph:
         return Graph.load(self.dataset, trial["features"])
 
+    def _expandable(self, trial: dict) -> bool:
+        if self.capacity is None or len(trial["features"]) < self.capacity:
+            return True
+        inputs = {x for f in trial["features"] for x in f["inputs"]}
+        tried = {x for t in self.trials if t["parent"] == trial["number"] for x in t["removed"]}
+        return any(f["name"] not in inputs | tried for f in trial["features"])
+
     def parent_of(self, number: int) -> dict:
         k = self.width if self.strategy == "beam" else 1
         cutoff = (number - 1) // k * k if self.strategy == "beam" else number - 1
         base = self.trials[0]
         if self.strategy == "independent":
             return base
-        ok = [t for t in self.trials if t["state"] == "COMPLETE" and t["number"] <= cutoff]
+        ok = [t for t in self.trials if t["state"] == "COMPLETE" and t["number"] <= cutoff and self._expandable(t)]
         frontier = sorted(ok, key=lambda t: (-t["value"] if self.maximize else t["value"], t["number"]))[:k]
         return frontier[(number - 1) % len(frontier)] if frontier else base
 
@@ -145,9 +158,23 @@ class Study:
         return [r["name"] for r in retrieval.hybrid(wide, wanted, self.most_columns, 0, number).collect()]
 
     def used(self) -> dict[str, float]:
+        """What all trials in the ledger took, those of earlier runs too. A bill that is unknown in part passes any ceiling on cost."""
+        done, bills = [t for t in self.trials if t["number"] > 0], [t["bill"] for t in self.trials if t.get("bill")]
+        cost = float("inf") if any(b["cost"] is None for b in bills) else sum(b["cost"] for b in bills)
+        return {"trials": len(done), "fits": sum(t["fits"] for t in self.trials), "seconds": sum(t["duration"] for t in self.trials), "proposals": sum(t["valid_proposal"] for t in done), "tokens": sum(b["tokens"] for b in bills), "cost": cost}
+
+    def _sample(self, trial: dict, context: Context):
+        """A proposal; the trial keeps the bill of the requests for it, failed ones included."""
         client = getattr(self.sampler, "client", None)
-        done = [t for t in self.trials if t["number"] > 0]
-        return {"trials": len(done), "fits": sum(t["fits"] for t in self.trials), "seconds": sum(t["duration"] for t in self.trials), "proposals": sum(t["valid_proposal"] for t in done), "tokens": sum(client.tokens) if client else 0, "cost": (client.cost or 0.0) if client else 0.0}
+        state = lambda: (client.requests, sum(client.tokens), client.unknown, sum(n * p for n, p in zip(client.tokens, client.price, strict=True)) / 1e6 if client.price else None)
+        before = state() if client else None
+        try:
+            return self.sampler.sample(context)
+        finally:
+            after = state() if client else None
+            if client and after[0] > before[0]:
+                known = after[2] == before[2] and after[3] is not None
+                trial["bill"] = {"requests": after[0] - before[0], "tokens": after[1] - before[1], "cost": after[3] - before[3] if known else None}
 
     def _save(self, trial: dict) -> None:
         if len(self.trials) > trial["number"]:
@@ -174,13 +201,35 @@ class Study:
                     self._save(t | {"state": "INTERRUPTED"})
             frame = df.persist()
             self.statistics_of = self._statistics(frame)
+            logger, handler = self._logger()
             try:
                 self._loop(frame, label, fold, budget, row_id)
             finally:
                 frame.unpersist()
+                if handler:
+                    logger.removeHandler(handler)
+                    handler.close()
         top = self.best()
         return fit(df, self.dataset, self.graph(top)) if top else None
 
+    def refit(self, df: DataFrame, label: str) -> FoldPipeline | None:
+        """The best trial's whole pipeline, estimator included, fitted on all rows; it can be saved and applied to new ones."""
+        top = self.best()
+        if top is None:
+            return None
+        adapter = ESTIMATORS[self.estimator] if isinstance(self.estimator, str) else self.estimator
+        classes = df.agg(F.count_distinct(label)).first()[0] if adapter.classifier else 0
+        return FoldPipeline(self.graph(top), label, adapter, top["params"], classes).fit(df, (label,))
+
+    def _logger(self) -> tuple[logging.Logger, logging.Handler | None]:
+        logger = logging.getLogger(f"tessera.search.{self.name}")
+        handler = logging.FileHandler(self.log, encoding="utf-8") if self.log else None
+        if handler:
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+            logger.setLevel(logging.INFO)
+            logger.addHandler(handler)
+        return logger, handler
+
     def _loop(self, df, label, fold, budget, row_id) -> None:
         if not self.trials:
             k = df.select(fold).distinct().count()
@@ -193,11 +242,12 @@ class Study:
             trial = self._propose(df, label, fold, budget, row_id, number)
             after = self.best()
             stale = stale + 1 if before and after and after["number"] == before["number"] else 0
+            logging.getLogger(f"tessera.search.{self.name}").info("trial %d %s value=%s parent=%s%s", number, trial["state"], trial["value"], trial["parent"], f" error={trial['error']!r}" if trial["error"] else "")
             for call in self.callbacks:
                 call(self, trial)
 
     def _blank(self, number: int, parent: dict | None = None) -> dict:
-        return {"number": number, "state": "RUNNING", "value": None, "parent": parent["number"] if parent else None, "parent_hash": parent["hash"] if parent else None, "features": [], "removed": [], "hash": None, "params": {}, "signature": None, "metrics": {}, "folds": [], "importance": {}, "directions": {}, "delta": None, "parent_delta": None, "hypotheses": {}, "fits": 0, "valid_proposal": False, "duration": 0.0, "error": None}
+        return {"number": number, "state": "RUNNING", "value": None, "parent": parent["number"] if parent else None, "parent_hash": parent["hash"] if parent else None, "features": [], "removed": [], "hash": None, "params": {}, "signature": None, "metrics": {}, "folds": [], "importance": {}, "directions": {}, "delta": None, "parent_delta": None, "hypotheses": {}, "fits": 0, "valid_proposal": False, "duration": 0.0, "error": None, "bill": None}
 
     def _propose(self, df, label, fold, budget, row_id, number) -> dict:
         parent = self.parent_of(number)
@@ -206,13 +256,14 @@ class Study:
         self._save(trial)
         began = time.time()
         try:
-            p = self.sampler.sample(Context(self.dataset, graph, number, self.trials[:-1], 1 if self.strategy == "autonomous" else self.most, self.maximize, self.memory(), self.statistics_of, self._columns(df, number)))
+            p = self._sample(trial, Context(self.dataset, graph, number, self.trials[:-1], 1 if self.strategy == "autonomous" else self.most, self.maximize, self.memory(), self.statistics_of, self._columns(df, number)))
             need(bool(p.features or p.remove or p.model_params), "empty proposal")
             names = {f.name for f in graph.features}
             need(len(set(p.remove)) == len(p.remove) and set(p.remove) <= names, "removals must be different features of the parent")
             need(self.strategy != "autonomous" or len(p.features) <= 1, "one new feature at a time")
             check_params(p.model_params, self.param_space)
             after = Graph.of(self.dataset, [*(f for f in graph.features if f.name not in p.remove), *p.features], {x.feature.name: x.source_trial for x in graph.nodes} | {f.name: number for f in p.features})
+            need(self.capacity is None or len(after.features) <= self.capacity, f"at most {self.capacity} features in a trial")
             trial |= {"valid_proposal": True, "removed": list(p.remove)}
         except ContractError as e:
             trial |= {"state": "FAIL", "error": str(e), "duration": time.time() - began}

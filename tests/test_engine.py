@@ -380,6 +380,61 @@ def test_curves_ranks_and_groups_in_ranges_equal_brute_force(spark, monkeypatch)
     assert levels == {v: min(i, 4) for i, v in enumerate(order)}
 
 
+def test_fitted_pipelines_are_saved_and_predict(spark, parcels, tmp_path):
+    from tessera.operators.evaluate import ESTIMATORS, FoldPipeline, default_estimator, explain_holdout
+
+    many = parcels.withColumn("zone", F.concat("zone", F.lit("-"), F.col("id") % 140))
+    study = Study(PARCELS, "auc", None, RandomSampler(1), Ledger(str(tmp_path / "l.db")), explain=False, log=str(tmp_path / "search.log"))
+    assert study.estimator == "logistic" and default_estimator("rmse") == "ridge"
+    study.optimize(many, "label", "fold", Budget(trials=1))
+    assert "trial 1 " in (tmp_path / "search.log").read_text() and study.refit(many.limit(100), "label") is not None
+    raw = many.drop("label")
+    for name in ("logistic", "forest_classifier"):
+        graph = Graph.of(Dataset.parse(PARCELS), [Feature("ratio", "divide", ("weight", "price")), Feature("by_zone", "group_mean", ("zone", "weight"))])
+        pipe = FoldPipeline(graph, "label", ESTIMATORS[name], {}, 2).fit(many, ("label",))
+        assert pipe.rare
+        for _ in range(2):  # the second replaces the first
+            pipe.save(str(tmp_path / name))
+        loaded = FoldPipeline.load(spark, str(tmp_path / name))
+        before, after = ({r.id: (r.prediction, *r.p) for r in p.apply(raw, ("id",)).collect()} for p in (pipe, loaded))
+        assert len(after) == 150 and after == {k: pytest.approx(v) for k, v in before.items()}
+        assert len(loaded.apply(raw, ("zone", "weight")).columns) == 4
+    gain = explain_holdout(loaded, many, "accuracy", "id")
+    assert set(gain) == {"weight", "price", "zone", "ratio", "by_zone"} and gain["ratio"] == max(gain.values()) > 0
+    assert [p.name for p in tmp_path.iterdir() if "logistic" in p.name] == ["logistic"]
+
+
+def test_full_parents_are_passed_over(tmp_path):
+    study = Study(PARCELS, "auc", "logistic", RandomSampler(1), Ledger(str(tmp_path / "l.db")), capacity=2)
+    row = lambda name, *inputs: {"name": name, "inputs": list(inputs)}
+    trial = lambda k, value, features, parent=0, removed=(): study._blank(k) | {"state": "COMPLETE", "value": value, "features": features, "parent": parent, "removed": list(removed)}
+    study.trials = [trial(0, 0.5, []), trial(1, 0.9, [row("a", "weight"), row("b", "a")]), trial(2, 0.7, [row("c", "price")])]
+    assert study.parent_of(3)["number"] == 1  # b can go
+    study.trials.append(trial(3, 0.6, [row("a", "weight")], 1, ["b"]))
+    assert study.parent_of(4)["number"] == 2
+
+
+def test_bills_are_kept_in_the_ledger_and_unknown_ones_end_the_search(spark, parcels, tmp_path):
+    def reply(usage):
+        text = json.dumps({"features": [], "remove": []})
+        return lambda url, headers, body: (200, json.dumps({"choices": [{"message": {"content": text}}], **usage}).encode())
+
+    def run(usage, budget):
+        client = Client("https://example.org", "m", transport=reply(usage), price=(1.0, 2.0))
+        study = Study(PARCELS, "auc", "logistic", ModelSampler(client), Ledger(str(tmp_path / "l.db")), explain=False)
+        study.optimize(parcels, "label", "fold", budget)
+        return study.used(), client.requests
+
+    known = {"usage": {"prompt_tokens": 10, "completion_tokens": 5}}
+    first, asked = run(known, Budget(trials=1))
+    assert first["tokens"] == 15 * asked and first["cost"] == pytest.approx(20e-6 * asked)
+    second, more = run(known, Budget(trials=2))
+    assert more > 0 and second["tokens"] == 15 * (asked + more)
+    assert run(known, Budget(tokens=15))[1] == 0
+    unknown, _ = run({}, Budget(trials=3))
+    assert unknown["cost"] == float("inf") and run(known, Budget(cost=1e9))[1] == 0
+
+
 def test_command_line_picks_the_best_by_the_metric(tmp_path, capsys):
     from tessera.cli import main
     from tessera.sources.ledger import Ledger
